@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries, timeline_queries  # noqa: F401  they register themselves
+from . import signal_queries, text_queries, timeline_queries  # noqa: F401  they register themselves
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
