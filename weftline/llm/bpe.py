@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import small_batches
 
@@ -243,7 +244,7 @@ def encode_documents(documents: DataFrame, path: str, ids: bool = True, digests:
     places = [df.columns.index(c) for c in keep]
     schema = df.select(*keep).schema.add("n_tokens", "long")
     if ids:
-        schema = schema.add("token_ids", "array<int>")
+        schema = schema.add("token_ids", ArrayType(IntegerType()))
     if digests:
         schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
 
