@@ -429,3 +429,22 @@ def test_frames_fed_again_count_once(spark, tmp_path):
         sessions.upsert_frames(spark.readStream.schema("file_id long, frame long, db int").parquet(str(tmp_path / "in")), spark, str(tmp_path / "out"), str(tmp_path / "state"), ["file_id", "frame"])
     got = sorted((r["frame"], r["db"]) for r in sessions.latest_frames(spark, str(tmp_path / "out"), ["file_id", "frame"], "db").collect())
     assert got == [(0, 7), (1, 5), (2, 7)]
+
+
+# -- tokens
+
+
+def test_align_positions_and_character_times():
+    from weftline.operators import tokens
+
+    assert tokens.align_positions("abc", "abc") == [0, 1, 2, 3]
+    at = tokens.align_positions("abxc", "abc")
+    assert at[0] == 0 and at[1] == 1 and at[4] == 3 and at == sorted(at)
+    rnd = random.Random(2)
+    for _ in range(200):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randrange(0, 9))) for _ in range(2))
+        at = tokens.align_positions(a, b)
+        assert at == sorted(at) and at[-1] == len(b) and len(at) == len(a) + 1
+    assert tokens.character_times("ab。", ["ab", "。"], [0, 200], [200, 240], 1000) == [(1000, 1100), (1100, 1200), (1200, 1240)]
+    assert tokens.character_times("xyz", ["ab"], [0], [10], 0) is None
+    assert tokens.token_places(["ab", ",", "c"], "abc", "abc") == [0, 0, 2]
