@@ -279,6 +279,26 @@ def test_resegment_cuts_at_sentences():
     assert [c.text for c in got] == ["One two three.", "Four five six seven."] and got[0].end <= got[1].start + 150
 
 
+def test_gaps_are_closed_within_the_rate():
+    text = "One two three. Four five six seven. Eight nine ten."
+    book, n = B.Book([text]), B.normalize(text)[0]
+    cue = lambda a, z, s, e: B.BookCue(s, e, "", B.Match(a, z, 1.0), tuple(range(s, s + z - a)))
+    four, eight = n.index("four"), n.index("eight")
+    got = B.close_gaps([cue(0, four - 3, 0, 1000), cue(four + 4, eight, 1000, 2000), cue(eight, len(n), 2000, 3000)], book)
+    assert got[0].match.end == four and got[1].match.start == four and all(len(c.times) == c.match.end - c.match.start for c in got)
+    got = B.close_gaps([cue(0, four, 0, 1000), B.BookCue(1000, 2000, "x", None), cue(eight, len(n), 2000, 3000)], book)
+    assert got[1].match == B.Match(four, eight, 0.0)
+    got = B.close_gaps([cue(0, four, 0, 1000), B.BookCue(1000, 1005, "x", None), cue(eight, len(n), 2000, 3000)], book)
+    assert got[1].match is None  # nobody speaks that fast
+
+
+def test_neighbours_give_up_what_costs_nothing():
+    assert B.tied_shrinks("abcd", "abcdxy", True) == [4, 3, 2, 1] and B.tied_shrinks("abcd", "abcd", True) == []
+    text = "abcdefgh" + "mnopq" + "uvwxyz"
+    got = B.negotiate([0, 1], ["abcdefgh", "mnopq"], {0: B.Match(0, 13, 0.6)}, text, 0, 13)
+    assert got[1] == B.Match(8, 13, 1.0) and got[0].end == 8
+
+
 # -- retiming
 
 

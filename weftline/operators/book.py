@@ -150,7 +150,7 @@ def best_span(needle: str, hay: str) -> tuple[int, int, float]:
 
 
 def fill_gaps(texts: list[str], book: Book, matches: list[Match | None]) -> list[Match | None]:
-    """Unmatched runs between matches: cues longest first by nearest stretch between their placed neighbours, the rest in proportion to length.
+    """Unmatched runs between matches: cues longest first by nearest stretch between their placed neighbours; then those without room by what neighbours can give up; the rest in proportion to length.
 
     A run that is too long for the limits, or places no more than it leaves, is
     left as it was; matches that were there never move.
@@ -176,6 +176,7 @@ def fill_gaps(texts: list[str], book: Book, matches: list[Match | None]) -> list
                     s, e, like = best_span(norm[i], book.text[a:z])
                     if like >= SIMILAR:
                         got[i] = Match(a + s, a + e, like)
+                got = negotiate(run, norm, got, book.text, lo, hi)
                 got |= proportional(run, norm, got, lo, hi)
                 if len(got) > len(run) - len(got):
                     for i, m in got.items():
@@ -184,6 +185,46 @@ def fill_gaps(texts: list[str], book: Book, matches: list[Match | None]) -> list
     return out
 
 
+def edit_cost(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
+        row = new
+    return row[-1]
+
+
+def tied_shrinks(needle: str, text: str, at_end: bool) -> list[int]:
+    """How many characters a span can give up at one side without costing an edit more, the most first."""
+    cost = edit_cost(needle, text)
+    most = max(0, len(text) - max(1, len(needle) // 2))
+    return [k for k in range(most, 0, -1) if edit_cost(needle, text[: len(text) - k] if at_end else text[k:]) <= cost]
+
+
+def negotiate(run: list[int], norm: list[str], got: dict[int, Match], text: str, lo: int, hi: int) -> dict[int, Match]:
+    """Place cues that found no room in what their placed neighbours of the run give up at no cost."""
+    got = dict(got)
+    for n, i in enumerate(run):
+        if i in got:
+            continue
+        left = next((x for x in reversed(run[:n]) if x in got), None)
+        right = next((x for x in run[n + 1 :] if x in got), None)
+        a, z = got[left].end if left is not None else lo, got[right].start if right is not None else hi
+        give_a = tied_shrinks(norm[left], text[got[left].start : a], True)[:1] if left is not None else []
+        give_z = tied_shrinks(norm[right], text[z : got[right].end], False)[:1] if right is not None else []
+        wide_a, wide_z = a - sum(give_a), z + sum(give_z)
+        s, e, like = best_span(norm[i], text[wide_a:wide_z])
+        if like < SIMILAR:
+            continue
+        got[i] = Match(wide_a + s, wide_a + e, like)
+        if left is not None and got[i].start < a:
+            got[left] = replace(got[left], end=got[i].start)
+        if right is not None and got[i].end > z:
+            got[right] = replace(got[right], start=got[i].end)
+    return got
+
+
 def proportional(run: list[int], norm: list[str], got: dict[int, Match], lo: int, hi: int) -> dict[int, Match]:
     """What is left of a run shares the text between its placed neighbours by length, where that is about as long as it."""
     out, at = {}, 0
@@ -229,6 +270,54 @@ def sentence_places(book: Book) -> set[int]:
     return out
 
 
+def _spread(start: int, end: int, n: int) -> tuple[int, ...]:
+    return tuple(start + (end - start) * k // n for k in range(n))
+
+
+def close_gaps(cues: list[BookCue], book: Book) -> list[BookCue]:
+    """Book text that no cue claims goes to the cues around or between it, as long as nobody has to speak at twice the usual rate.
+
+    Between neighbours the gap is cut at its first sentence place; between cues
+    with unmatched ones in the middle, these share it by duration, the last taking
+    what rounding leaves.
+    """
+    out, stops = list(cues), sentence_places(book)
+    ok = lambda c: c.match is not None and len(c.times) == c.match.end - c.match.start
+    rates = sorted((c.match.end - c.match.start) / max(1, c.end - c.start) for c in out if ok(c))
+    if not rates:
+        return out
+    ceiling = DENSITY * rates[len(rates) // 2]
+    fast = lambda chars, c: chars > ceiling * max(1, c.end - c.start)
+    known = [k for k, c in enumerate(out) if ok(c)]
+    for i, j in zip(known, known[1:]):
+        a, b = out[i].match.end, out[j].match.start
+        if b <= a or book.section_of(out[i].match.start) != book.section_of(out[j].match.end - 1) or out[j].start < out[i].end:
+            continue
+        between = out[i + 1 : j]
+        if not between:
+            cut = next((s for s in sorted(stops) if a <= s <= b), None)
+            if cut is None:
+                continue
+            if cut > a and not fast(cut - out[i].match.start, out[i]):
+                c = out[i]
+                out[i] = replace(c, match=replace(c.match, end=cut), times=c.times + _spread(max(c.times[-1], c.start), max(c.end, c.times[-1]), cut - a))
+            if cut < b and not fast(out[j].match.end - cut, out[j]):
+                c = out[j]
+                out[j] = replace(c, match=replace(c.match, start=cut), times=_spread(c.start, max(c.start, c.times[0]), b - cut) + c.times)
+        elif all(c.match is None for c in between) and all(x.end <= y.start for x, y in zip([out[i], *between], [*between, out[j]])):
+            total = sum(c.end - c.start for c in between)
+            if total <= 0 or b - a > ceiling * total:
+                continue
+            done, at = 0, a
+            for k, c in enumerate(between, i + 1):
+                done += c.end - c.start
+                end = b if k == j - 1 else a + (b - a) * done // total
+                if end > at:
+                    out[k] = replace(c, match=Match(at, end, 0.0), times=_spread(c.start, c.end, end - at))
+                at = end
+    return out
+
+
 def resegment(cues: list[BookCue], book: Book) -> list[BookCue]:
     """Runs of cues that follow each other in the book, cut where the book's sentences end and no longer where they do not.
 
