@@ -468,3 +468,13 @@ def test_align_positions_and_character_times():
     assert tokens.character_times("ab。", ["ab", "。"], [0, 200], [200, 240], 1000) == [(1000, 1100), (1100, 1200), (1200, 1240)]
     assert tokens.character_times("xyz", ["ab"], [0], [10], 0) is None
     assert tokens.token_places(["ab", ",", "c"], "abc", "abc") == [0, 0, 2]
+
+
+def test_exact_passages_of_any_length(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4)))
+    texts = [(i, " ".join(word() for _ in range(rnd.randrange(0, 40)))) for i in range(60)]
+    items = [(j, " ".join(texts[rnd.randrange(60)][1].split()[:n])) for j, n in enumerate([1, 2, 3, 5, 6, 7, 9, 12] * 2)]
+    items = [(j, t) for j, t in items if t]
+    got = sorted((r["item_id"], r["doc_id"], r["at"]) for r in matching.exact_passages(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == sorted((j, i, t.find(u)) for j, u in items for i, t in texts if u in t)

@@ -9,10 +9,6 @@ from weftline.functions import text as T
 
 from .base import query, table
 
-KEEP_SQL = T.KEEP
-FOLD_SQL = f"'{T.FOLD_FROM}', '{T.FOLD_TO}'".replace("'''", "''''") if "'" in T.FOLD_FROM else f"'{T.FOLD_FROM}', '{T.FOLD_TO}'"
-
-
 def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -138,7 +134,7 @@ def unique_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT item_id, doc_id, CAST(strpos(d.text, b.text) - 1 AS BIGINT) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text)""",
 )
 def passage_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where items stand in texts: joined on hashes of their first 24 characters at sentence starts would miss some, so on the rarest 4 words."""
+    """Where items stand in texts, seeded by each item's rarest four words."""
     from weftline.operators.matching import exact_passages
 
     return exact_passages(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
