@@ -110,7 +110,14 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "n", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"))
 
 
-@query("pick_batches")
+@query(
+    "pick_batches",
+    """WITH RECURSIVE o AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS frames, l_orderkey % 200 AS shard, row_number() OVER (PARTITION BY l_orderkey % 200 ORDER BY CAST(l_quantity AS BIGINT) DESC, l_orderkey * 10 + l_linenumber) AS k FROM lineitem),
+    r AS (SELECT shard, k, frames AS longest, 1 AS n, 0 AS batch FROM o WHERE k = 1
+        UNION ALL SELECT o.shard, o.k, CASE WHEN j THEN r.longest ELSE o.frames END, CASE WHEN j THEN r.n + 1 ELSE 1 END, CASE WHEN j THEN r.batch ELSE r.batch + 1 END
+        FROM r JOIN o ON o.shard = r.shard AND o.k = r.k + 1, LATERAL (SELECT r.n < 16 AND (r.n + 1) * r.longest <= 640 AND 5 * o.frames >= 4 * r.longest AS j))
+    SELECT l_orderkey, l_linenumber, frames, shard, CAST(batch AS BIGINT) AS batch FROM r JOIN o USING (shard, k)""",
+)
 def pick_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("long").alias("frames"), (F.col("l_orderkey") % 200).alias("shard"))
     return segment.pack_batches(li.withColumn("tie", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "shard", "frames", "tie", 640, 16).drop("tie")
@@ -179,15 +186,28 @@ def retime_on_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retime.retime_files(conv.select("file_id", "idx", start.alias("start_ms"), (start + 4000).alias("end_ms"), "text"), spoken)
 
 
-@query("retime_bytes")
+def _stamp(x: str) -> str:
+    return " || ':' || ".join(f"lpad(({x} // {n} {m})::VARCHAR, 2, '0')" for n, m in ((3600000, ""), (60000, "% 60"), (1000, "% 60"))) + f" || ',' || lpad(({x} % 1000)::VARCHAR, 3, '0')"
+
+
+@query(
+    "retime_bytes",
+    f"""CUES WITH d AS (SELECT file_id, idx, label, start_ms % 86400000 AS s FROM cues), m AS (SELECT *, s + CASE WHEN s < 43200000 THEN 1500 ELSE 3000 END AS a, row_number() OVER (PARTITION BY file_id ORDER BY s, idx) AS k FROM d),
+    t AS (SELECT file_id, string_agg(k || chr(10) || {_stamp('a')} || ' --> ' || {_stamp('(a + 900)')} || chr(10) || label || chr(10), chr(10) ORDER BY k) AS srt FROM m GROUP BY ALL)
+    SELECT CAST(file_id AS VARCHAR) AS path, md5(srt) AS content_md5, CAST(strlen(srt) AS BIGINT) AS bytes FROM t""",
+)
 def retime_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered files moved by 1.5 s, by 3 s from the middle of the day on, all else byte for byte."""
     day = cues(spark, sf_dir).select("file_id", "idx", (F.col("start_ms") % 86400000).alias("start_ms"), (F.col("start_ms") % 86400000 + 900).alias("end_ms"), F.col("label").alias("text"))
     srt = FM.render_srt(day, ["file_id"], ["start_ms", "idx"]).select(F.col("file_id").cast("string").alias("path"), F.col("srt").cast("binary").alias("content"), F.array(F.lit(43200.0)).alias("breaks"), F.array(F.lit(1.5), F.lit(3.0)).alias("offsets"))
-    return media.retime_files(srt).select("path", F.md5("content").alias("content_md5"), F.length("content").alias("bytes"))
+    return media.retime_files(srt).select("path", F.md5("content").alias("content_md5"), F.length("content").cast("long").alias("bytes"))
 
 
-@query("ass_events")
+@query(
+    "ass_events",
+    r"""SELECT conv_id, CAST(4 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS line, 'dialogue' AS kind, turn % 60 * 1000 AS start_ms, turn % 60 * 1000 + 500 AS end_ms,
+    '{\i1}' || replace(left(text, 60), chr(10), ' ') AS text, true AS alignable FROM conversations""",
+)
 def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as scripts, columns in an order of their own, and scanned."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 60), "\n", " ").alias("text"))
