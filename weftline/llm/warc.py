@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, small_batches
 
 BLOCK_LINES = 500
+#: Captures that one task looks up or reads; a few lines of index stand for much payload, so sizes of index rows do not tell.
+TASK_CAPTURES = 4000
 FILE_BYTES = 256 << 20
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -225,7 +227,7 @@ class Index:
         return found
 
 
-def look_up(keys: DataFrame, shards: list[tuple[str, str]], folder: str) -> DataFrame:
+def look_up(keys: DataFrame, shards: list[tuple[str, str]], folder: str, tasks: int) -> DataFrame:
     """(key, file, offset, length) for distinct keys; a key without captures has no row."""
     shared = keys.sparkSession.sparkContext.broadcast(shards)
 
@@ -235,10 +237,10 @@ def look_up(keys: DataFrame, shards: list[tuple[str, str]], folder: str) -> Data
             rows = [(k, x["f"], x["o"], x["n"]) for k in b.column(0).to_pylist() for x in index.find(k)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["key", "file", "offset", "length"])
 
-    return keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key").mapInArrow(run, "key string, file string, offset long, length long")
+    return keys.select("key").distinct().repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(run, "key string, file string, offset long, length long")
 
 
-def fetch(captures: DataFrame, folder: str) -> DataFrame:
+def fetch(captures: DataFrame, folder: str, tasks: int) -> DataFrame:
     """Records by range reads: page_id, payload_bytes, payload_digest, record_type, refers_to, url. A response whose payload does not have its digest is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,7 +269,7 @@ def fetch(captures: DataFrame, folder: str) -> DataFrame:
         if f:
             f.close()
 
-    ranged = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    ranged = captures.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return ranged.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
@@ -288,10 +290,11 @@ def archive_and_read(pages: DataFrame, name: str = "warc") -> DataFrame:
     captures = scratch.keep(write_archive(with_revisits(pages), data), "captures")
     shards = scratch.keep(write_index(captures, index), "shards")
     table = [(r["first_key"], r["shard"]) for r in shards.select("first_key", "shard").collect()]
+    tasks = 1 + (shards.agg(F.sum("lines")).first()[0] or 0) // TASK_CAPTURES
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, p) for p, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())], names=["key"])
 
     keys = pages.select("page_id", "url").mapInArrow(keyed, "key string")
-    return fetch(look_up(keys, table, index), data)
+    return fetch(look_up(keys, table, index, tasks), data, tasks)
