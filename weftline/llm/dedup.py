@@ -29,8 +29,11 @@ from .common import SLOTS, Scratch
 
 #: Intake files of one micro-batch.
 FILES_PER_BATCH = 1000
-STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; many small stores would each set 4 MB aside for their manifest.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def located(documents: DataFrame, scratch: Scratch) -> DataFrame:
@@ -44,8 +47,9 @@ def located(documents: DataFrame, scratch: Scratch) -> DataFrame:
 def stream_groups(intake_path: str, schema, scratch: Scratch, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """digest, n and keep (doc_id, wl_file, wl_row) of every digest, out of the stream's state."""
     spark = scratch.spark
-    old = spark.conf.get(STORE, None)
-    spark.conf.set(STORE, ROCKSDB)
+    old = {key: spark.conf.get(key, None) for key in STORE}
+    for key, value in STORE.items():
+        spark.conf.set(key, value)
     out = scratch.path("updates")
     try:
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(intake_path)
@@ -57,7 +61,8 @@ def stream_groups(intake_path: str, schema, scratch: Scratch, files_per_batch: i
         put(spark.createDataFrame([], state.schema), -1)  # a stream without rows has no batch
         state.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", scratch.path("stream")).trigger(availableNow=True).start().awaitTermination()
     finally:
-        spark.conf.unset(STORE) if old is None else spark.conf.set(STORE, old)
+        for key, value in old.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     updates = spark.read.schema(state.schema).parquet(out)
     last = updates.groupBy("digest").agg(F.max(F.struct("n", "keep")).alias("x"))  # a digest's count only grows
     return scratch.keep(last.select("digest", "x.n", "x.keep"), "groups")
