@@ -86,7 +86,7 @@ class PairRanks:
 class WordBPE:
     """Tokenizer of the kind "BPE with word ends"; the file says its vocabulary, merges, words and special tokens."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 250_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -110,39 +110,50 @@ class WordBPE:
         self.words: dict[str, tuple[bytes, bytes]] = {}
         self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
 
-    def _starts(self, raw: bytes) -> np.ndarray:
-        ids = self.inner[np.frombuffer(raw, np.uint8)]
-        ids[-1] = self.last[raw[-1]]
-        return ids[ids >= 0]
-
-    def merge(self, words: list[str]) -> list[np.ndarray]:
-        """Token ids of words, many at a time: row by row the parts of a word and the ranks of its neighbours."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        starts = [self._starts(w.encode()) for w in words]
-        size = np.array([len(x) for x in starts])
-        for low, high in ((-1, 8), (8, 16), (16, 32), (32, 64), (64, LONG)):
-            for group in np.array_split(rows := np.flatnonzero((size > low) & (size <= high)), len(rows) * high // 500_000 + 1):
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words end to end, where each word's ids begin, and the end), many words at a time: row by row the parts of a word and the ranks of its neighbours."""
+        raw = [w.encode() for w in words]
+        size = np.array([len(x) for x in raw], np.int64)
+        end = np.cumsum(size)
+        flat = np.frombuffer(b"".join(raw), np.uint8)
+        ids = self.inner[flat]
+        ids[end - 1] = self.last[flat[end - 1]]
+        if (ids < 0).any():  # bytes without a token are dropped
+            keep = ids >= 0
+            end = np.cumsum(keep)[end - 1]
+            size, ids = np.diff(end, prepend=0), ids[keep]
+        start = end - size
+        out = np.zeros_like(ids)  # a word's result is never longer than its start
+        left = np.zeros(len(words), np.int64)
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64), (64, LONG)):
+            rows = np.flatnonzero((size > low) & (size <= high))
+            for group in np.array_split(rows, len(rows) * high // 500_000 + 1):
                 if len(group):
-                    self._merge_rows(starts, group, high, out)
+                    self._merge_rows(ids, start[group], size[group], high, group, out, left)
         for k in np.flatnonzero(size > LONG):
-            out[k] = self._merge_long(starts[k].tolist())
-        return out
-
-    def _merge_rows(self, starts: list[np.ndarray], group: np.ndarray, width: int, out: list[np.ndarray]) -> None:
-        ids = np.full((len(group), width + 1), -1, np.int32)
-        size = np.array([len(starts[k]) for k in group])
-        ids[np.arange(width + 1) < size[:, None]] = np.concatenate([starts[k] for k in group])
+            got = self._merge_long(ids[start[k] : end[k]].tolist())
+            out[start[k] : start[k] + len(got)], left[k] = got, len(got)
+        first = np.concatenate([[0], np.cumsum(left)])
+        pick = np.arange(first[-1]) + np.repeat(start - first[:-1], left)
+        return out[pick], first
+
+    def _merge_rows(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, width: int, group: np.ndarray, out: np.ndarray, left: np.ndarray) -> None:
+        place = np.arange(width + 1)
+        there = place < size[:, None]
+        ids = np.where(there, flat[np.minimum(start[:, None] + place, len(flat) - 1)], -1).astype(np.int32)
         ranks = np.full((len(group), width), NONE, np.int32)
-        there = np.arange(width) < size[:, None] - 1
-        ranks[there] = self.ranks(ids[:, :-1][there], ids[:, 1:][there])
-        row, col = np.arange(len(group)), np.arange(width)
+        pair = there[:, 1:]
+        ranks[pair] = self.ranks(ids[:, :-1][pair], ids[:, 1:][pair])
+        row, col, size = np.arange(len(group)), np.arange(width), size.copy()
         while len(row):
             i = ranks.argmin(axis=1)
             low = ranks[np.arange(len(row)), i]
             done = low == NONE
             if done.any():
-                for r in np.flatnonzero(done):
-                    out[group[row[r]]] = ids[r, : size[r]].copy()
+                n = size[done]
+                at = np.repeat(start[row[done]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                out[at] = ids[done][place < n[:, None]]
+                left[group[row[done]]] = n
                 go = ~done
                 row, ids, ranks, size, i, low = row[go], ids[go], ranks[go], size[go], i[go], low[go]
                 if not len(row):
@@ -200,9 +211,11 @@ class WordBPE:
             self.words |= {t: (i.to_bytes(4, "little"), t.encode()) for t, i in self.special.items()}
         parts = {p: self._parts(p) for p in pieces}
         new = list({w for x in parts.values() for w in x} - self.words.keys())
-        names = self.names
-        for w, ids in zip(new, self.merge(new), strict=True):
-            self.words[w] = ids.tobytes(), b" ".join([names[i] for i in ids.tolist()])
+        if new:
+            ids, first = self.merge(new)
+            raw, text = ids.astype("<i4").tobytes(), [self.names[i] for i in ids.tolist()]
+            for w, a, z in zip(new, first.tolist(), first[1:].tolist()):
+                self.words[w] = raw[4 * a : 4 * z], b" ".join(text[a:z])
         known = self.words
         for p, x in parts.items():
             self.pieces[p] = known[x[0]] if len(x) == 1 else (b"".join([known[w][0] for w in x]), b" ".join([d for w in x if (d := known[w][1])]))

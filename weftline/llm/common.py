@@ -26,7 +26,7 @@ BATCH_ROWS = 1000
 
 try:  # glibc gives arrays of some MB back to the system at each turn; asking for them again costs more than the arithmetic
     _libc = ctypes.CDLL("libc.so.6")
-    _libc.mallopt(-3, 1 << 30), _libc.mallopt(-1, 64 << 20)
+    _libc.mallopt(-3, 32 << 20), _libc.mallopt(-1, 32 << 20)
 except OSError:
     pass
 
