@@ -29,10 +29,12 @@ from .common import SLOTS, Scratch
 
 #: Intake files of one micro-batch.
 FILES_PER_BATCH = 1000
-#: State on disk; many small stores would each set 4 MB aside for their manifest.
+#: State on disk; many small stores would each set 4 MB aside for their manifest, and each have buffers of its own.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 
