@@ -390,6 +390,22 @@ def test_model_matches_recursion_and_base_counts(spark):
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (total + len(c) + 1)) for x in w)) and r["n_known"] == sum(c[x] > 0 for x in w)
 
 
+@pytest.mark.parametrize("head", [1 << 20, 30])
+def test_contexts_are_bytes(spark, monkeypatch, head):
+    """Texts that differ in a letter beyond ASCII only are told apart, at depth 5, with cells broadcast or joined."""
+    monkeypatch.setattr(lm, "CELL_HEAD", head)
+    rows = [(k, t) for k, t in enumerate(["кот кот", "\u0431к \u0431к", "漢字漢字", "1212", "кит", ""] * 2)]
+    out = {r["doc_id"]: r["score"] for r in lm.score_texts(docs_of(spark, rows), F.col("doc_id") < 4, depth=5).collect()}
+    score = ctw_by_hand([t for k, t in rows if k < 4], 5)
+    for i, t in rows:
+        assert out[i] == pytest.approx(score(t), rel=1e-5)
+
+
+def test_cells_grow_with_the_corpus(spark):
+    n = [lm.count_corpus(docs_of(spark, [(i, t)]).withColumn("learned", F.lit(True)), 5).where("kind = 1").count() for i, t in enumerate(["чашка", "чашка и блюдце 漢字 12"])]
+    assert n == [len("чашка".encode()) + 1, len("чашка и блюдце 漢字 12".encode()) + 1]
+
+
 def test_small_head_changes_nothing(spark, monkeypatch):
     d = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
     learn = fold("doc_id", 7) != 2

@@ -47,7 +47,7 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score_texts(_read(spark, sf_dir, "documents"), fold("doc_id", 7) != 2)
+    scored = lm.score_texts(_read(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, depth=5)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
