@@ -217,6 +217,19 @@ def test_validators_and_context():
     assert kinds("my ssn is 123-45-6789") == ["ssn"] and kinds("part 123-45-6789") == [] and kinds("ssn 000-45-6789") == []
 
 
+def test_every_further_kind_can_stay():
+    found = lambda t: [(k, t[a:z]) for a, k, z, _ in pii.find_spans(t)]
+    assert found("call my mobile phone 415-555-2671") == [("localphone", "415-555-2671")] and found("part 415-555-2671") == []
+    assert found("call (415) 555-2671 now") == [("localphone", "(415) 555-2671")] and found("order page: call 415-555-2671") == []
+    assert found("my phone is +1 415-555-2671") == [("phone", "+1 415-555-2671")]
+    assert found("my ssn is 123-45-6789") == [("ssn", "123-45-6789")] and found("visa card 4222222222222") == [("card13", "4222222222222")]
+    iban = "ES91 2100 0418 4502 0005 1332"
+    for tail in ("", " BIC CAIXESBB", " BANK", " AND 1234", ".", " X"):
+        assert found(f"account {iban}{tail}") == [("iban", iban)], tail
+    assert found(f"AB12 CDEF GHIJ {iban}") == [("iban", iban)]
+    pii.find_spans("AB12 CDEF " * 30_000)
+
+
 def test_pii_odd_rows(spark):
     out = pii.find_personal_data(odd(spark)).collect()
     assert len(out) == len(ODD) and {r["spans"] for r in out} == {""}

@@ -5,7 +5,9 @@ non-overlapping matches of a fixed pattern, confirmed by a fixed test (parts at
 most 255; 14 to 19 digits passing Luhn; 10 to 15 digits); a match that fails is
 dropped and not tried again. Their spans always stay, with a score. *Further*
 kinds (iban by mod 97, ssn by its forbidden ranges, card13 by Luhn, localphone)
-stay if their score, after words nearby have moved it, reaches the threshold.
+stay if their score, after words nearby have moved it, reaches the threshold. A
+localphone that is part of a phone is that phone and no span of its own. An iban
+may be followed by capital words; a match that fails is tried again without them.
 
 Offsets are code points, ends exclusive. All patterns run in time linear in the
 text: none can start inside a run that an earlier start has already refused.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,7 +41,16 @@ _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCALPHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 _DIGIT = re.compile(r"[0-9]")
 
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "card13": 0.4, "localphone": 0.3}
+# Characters of an iban by country.
+IBAN_CHARS = {
+    c: n
+    for n, countries in (
+        (15, "NO"), (16, "BE"), (18, "DK FI FO GL NL"), (19, "MK SI"), (20, "AT BA EE KZ LT LU XK"), (21, "CH HR LI LV"), (22, "BG BH CR DE GB GE IE ME RS"), (23, "AE GI IL IQ"),
+        (24, "AD CZ ES MD PK RO SA SE SK TN VG"), (25, "PT"), (26, "IS TR"), (27, "FR GR IT MC MR SM"), (28, "AL AZ BY CY DO GT HU LB PL"), (29, "BR EG PS QA UA"), (30, "JO KW MU"), (31, "MT"),
+    )
+    for c in countries.split()
+}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "card13": 0.4, "localphone": 0.4}
 # Words within WINDOW characters of a span that speak for the kind, by kind.
 FOR = {
     "email": ("mail", "contact", "write", "correo", "kontakt"),
@@ -69,6 +81,22 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Of each match the confirmed beginning that ends with it or before a space: one of the country's length, else the longest. Where there is none the search goes on behind its first letter."""
+    m = _IBAN.search(text)
+    while m:
+        a, z = m.span()
+        good = []
+        while z > a:
+            if mod97(text[a:z]):
+                good.append(z)
+            z = text.rfind(" ", a, z)
+        if good:
+            z = next((z for z in good if z - a - text.count(" ", a, z) == IBAN_CHARS.get(m[0][:2])), good[0])
+            yield a, z
+        m = _IBAN.search(text, z if good else a + 1)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     """An address starts where the run of local characters before its @ starts, or where the last one ended."""
     floor = 0
@@ -106,7 +134,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def more_spans(text: str) -> list[tuple[int, str, int]]:
     out = []
     if _DIGIT.search(text):
-        out += [(m.start(), "iban", m.end()) for m in _IBAN.finditer(text) if mod97(m[0])]
+        out += [(a, "iban", z) for a, z in _ibans(text)]
         if "-" in text:
             out += [(m.start(), "ssn", m.end()) for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"]
         out += [(m.start(), "card13", m.end()) for m in _CARD.finditer(text) if 13 <= m.end() - m.start() <= 25 and len(d := _digits(m[0])) == 13 and luhn(d)]
@@ -124,10 +152,17 @@ def score(text: str, start: int, kind: str, end: int) -> float:
     return min(1.0, max(0.0, s))
 
 
+def _inside(spans: list[tuple[int, int]], x: tuple[int, str, int]) -> bool:
+    """Whether one of the spans, sorted and apart, covers x."""
+    k = bisect_right(spans, (x[0], len(spans) and spans[-1][1])) - 1
+    return k >= 0 and x[2] <= spans[k][1]
+
+
 def find_spans(text: str) -> list[tuple[int, str, int, float]]:
     """(start, kind, end, score): all base spans and the further ones that reach the threshold, by start, then kind as listed."""
     out = [(*x, score(text, *x)) for x in base_spans(text)]
-    out += [(*x, s) for x in more_spans(text) if (s := score(text, *x)) >= THRESHOLD]
+    phones = sorted((a, z) for a, k, z, _ in out if k == "phone")
+    out += [(*x, s) for x in more_spans(text) if not (x[1] == "localphone" and _inside(phones, x)) and (s := score(text, *x)) >= THRESHOLD]
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
