@@ -28,3 +28,48 @@ def test_dice_of_whole_items(spark):
             if a < b and 2 * (shared := (items[a] & items[b]).total()) >= 0.5 * n:
                 want[a, b] = shared, pytest.approx(2 * shared / n)
     assert {(r["a"], r["b"]): (r["shared"], r["dice"]) for r in got(spark, "passage_dice_whole")} == want
+
+
+def test_speaker_cues_of_whole_turns(spark):
+    rows = [(c, t * 5000 + 500, t * 5000 + 2500, f"{c}:S0{t % 2}", x.replace("[", "").replace("]", "").strip(" ")) for c, t, x in read("conv_id, turn, text", "conversations")]
+    assert sorted(map(tuple, got(spark, "speaker_cues_whole"))) == sorted(r for r in rows if r[4])
+    assert max(len(r[4]) for r in rows) > 40
+
+
+def test_scripts_of_whole_turns(spark):
+    rows = got(spark, "ass_events_whole")
+    want = [(c, "{\\i1}" + x.replace("\r\n", " ").replace("\r", " ").replace("\n", " ")) for c, _, x in read("conv_id, turn, text", "conversations")]
+    assert sorted((r["conv_id"], r["text"]) for r in rows) == sorted(want) and max(len(x) for _, x in want) > 65
+
+
+def test_files_of_whole_documents(spark):
+    rows = {r["doc_id"]: r for r in got(spark, "file_charsets_whole")}
+    docs = read("doc_id, text", "documents")
+    assert len(rows) == len(docs)
+    for i, t in docs:
+        raw = t.encode(("utf-16-le", "utf-16-be", "latin-1")[i % 3], "replace")
+        pairs = [raw[k : k + 2] for k in range(0, min(len(raw), 64) - 1, 2)]
+        high, low = sum(p[1] == 0 != p[0] for p in pairs), sum(p[0] == 0 != p[1] for p in pairs)
+        want = "UTF-16LE" if high and high * 2 >= len(pairs) else "UTF-16BE" if low and low * 2 >= len(pairs) else "ISO-8859-1"
+        if raw[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+            same = raw.decode({"UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-be", "ISO-8859-1": "latin-1"}[want], "replace") == (t if i % 3 < 2 else raw.decode("latin-1"))
+            assert (rows[i]["charset"], rows[i]["same"]) == (want, same)
+
+
+def test_retiming_is_given_whole_turns(spark, monkeypatch):
+    monkeypatch.setattr(retime, "retime_files", lambda cues, spoken: cues.select("file_id", "idx", "text").join(spoken.select("file_id", "idx", "text"), ["file_id", "idx", "text"]))
+    assert sorted(map(tuple, got(spark, "retime_on_speech"))) == sorted(read("conv_id, turn, text", "conversations"))
+
+
+def test_retiming_matches_plain_calls(spark):
+    turns = {}
+    for c, t, x in read("conv_id, turn, text", "conversations"):
+        turns.setdefault(c, []).append((t, x))
+    rows = {(r["file_id"], r["idx"]): r for r in got(spark, "retime_on_speech")}
+    assert len(rows) == sum(map(len, turns.values()))
+    for c in sorted(turns)[:12]:
+        mine = sorted(turns[c])
+        want = retime.retime([(t * 8000, t * 8000 + 4000, x) for t, x in mine], [(t * 8000 + 5000, t * 8000 + 9000, x) for t, x in mine])
+        for (t, _), (s, e) in zip(mine, want.cues, strict=True):
+            r = rows[c, t]
+            assert (r["start_ms"], r["end_ms"], r["matched"], r["clock"]) == (s, e, want.matched, want.clock)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import signal as S
@@ -179,8 +179,8 @@ def book_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("retime_on_speech")
 def retime_on_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns' first sentences as subtitles, 5 s early against the transcript."""
-    conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), F.substring("text", 1, 80).alias("text"))
+    """Turns as subtitles, 5 s early against the transcript."""
+    conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), "text")
     start = F.col("idx") * 8000
     spoken = conv.select("file_id", "idx", (start + 5000).alias("start_ms"), (start + 9000).alias("end_ms"), "text")
     return retime.retime_files(conv.select("file_id", "idx", start.alias("start_ms"), (start + 4000).alias("end_ms"), "text"), spoken)
@@ -210,7 +210,17 @@ def retime_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written as scripts, columns in an order of their own, and scanned."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 60), "\n", " ").alias("text"))
+    return _scripts(spark, sf_dir, F.regexp_replace(F.substring("text", 1, 60), "\n", " "))
+
+
+@query("ass_events_whole")
+def ass_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns, a line's end as a space; ass_events, as its SQL has it, takes their first 60 characters."""
+    return _scripts(spark, sf_dir, F.regexp_replace("text", "\r\n?|\n", " "))
+
+
+def _scripts(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
     line = F.concat(F.lit("Dialogue: 0,"), F.format_string("0:00:%02d.00", F.col("turn") % 60), F.lit(","), F.format_string("0:00:%02d.50", F.col("turn") % 60), F.lit(",Default,{\\i1}"), "text")
     body = c.select("conv_id", "turn", line.alias("l")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "l")))["l"], "\n").alias("b"))
     return FM.scan_ass(body.select("conv_id", F.concat(F.lit("[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"), "b").alias("text")), ["conv_id"])

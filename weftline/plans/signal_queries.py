@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -200,7 +200,17 @@ def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, turn * 5000 + 500 AS start_ms, turn * 5000 + 2500 AS end_ms, conv_id || ':S0' || (turn % 2) AS speaker, trim(text) AS text FROM t WHERE trim(text) <> ''""")
 def speaker_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns written as a raw speaker stream per conversation, read back as cues."""
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(F.substring("text", 1, 40), r"[\[\]]", "").alias("text"))
+    return _speaker_stream(spark, sf_dir, F.substring("text", 1, 40))
+
+
+@query("speaker_cues_whole")
+def speaker_cues_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole turns; speaker_cues, as its SQL has it, takes their first 40 characters."""
+    return _speaker_stream(spark, sf_dir, F.col("text"))
+
+
+def _speaker_stream(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(text, r"[\[\]]", "").alias("text"))
     part = F.concat(F.lit("["), F.format_string("%d.50", F.col("turn") * 5), F.lit("][S0"), (F.col("turn") % 2).cast("string"), F.lit("]"), "text", F.lit("["), F.format_string("%d.50", F.col("turn") * 5 + 2), F.lit("]"))
     raw = t.select("conv_id", "turn", part.alias("p")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "p")))["p"], "").alias("raw"))
     return FM.parse_speaker_stream(raw, ["conv_id"], "raw", F.col("conv_id"))
