@@ -56,6 +56,21 @@ def test_files_of_whole_documents(spark):
             assert (rows[i]["charset"], rows[i]["same"]) == (want, same)
 
 
+def test_every_cue_is_rebased(spark):
+    rows = got(spark, "token_rebase_whole")
+    assert sum(len(r["tokens"].split()) for r in rows) == 2 * read("count(*)", "events")[0][0]
+    events = read("user_id, event_id, epoch_us(ts) // 1000, event_type", "events")
+    groups = {}
+    for u, e, s, kind in events:
+        groups.setdefault((u, e // 10), []).append((e, s, kind))
+    for r in rows:
+        m = sorted(groups.pop((r["file_id"], r["grp"])))
+        first = min(s for _, s, _ in m)
+        assert r["start_ms"] == first and r["tokens"] == " ".join(f"{k} x" for *_, k in m)
+        assert r["offsets"] == " ".join(f"{s - first} {s - first + 100}" for _, s, _ in m)
+    assert not groups
+
+
 def test_retiming_is_given_whole_turns(spark, monkeypatch):
     monkeypatch.setattr(retime, "retime_files", lambda cues, spoken: cues.select("file_id", "idx", "text").join(spoken.select("file_id", "idx", "text"), ["file_id", "idx", "text"]))
     assert sorted(map(tuple, got(spark, "retime_on_speech"))) == sorted(read("conv_id, turn, text", "conversations"))
