@@ -602,6 +602,12 @@ def test_tokens_match_the_library(most):
             assert decoded.decode() == t.decode(want, skip_special_tokens=False), s
 
 
+def test_full_table_and_batches_of_one():
+    whole, own = bpe.WordBPE(queries.tokenizer_path()), bpe.WordBPE(queries.tokenizer_path(), 4)
+    for x in (b"one two three", b"two four five six", b"six seven", b"a b c d e f", b"f a g"):
+        assert own.encode_texts([x]) == whole.encode_texts([x])
+
+
 def test_tokens_odd_rows(spark):
     out = bpe.encode_documents(odd(spark), queries.tokenizer_path(), digests=True).collect()
     t = reference_tokenizer()

@@ -226,7 +226,7 @@ class WordBPE:
         known = self.pieces
         lists = [t.split() for t in texts]
         new = {p for x in lists for p in x if p not in known}
-        if len(new) + len(known) > self.most and len(texts) > 1:  # as if the table had been empty
+        if len(new) + len(known) > self.most:  # as if the table had been empty
             new = {p for x in lists for p in x}
         self.learn(new)
         for x in lists:
