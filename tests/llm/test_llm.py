@@ -619,6 +619,16 @@ def test_tokens_odd_rows(spark):
     assert bpe.encode_documents(odd(spark).limit(0), queries.tokenizer_path()).count() == 0
 
 
+def test_ids_decode_like_the_library(spark):
+    t = reference_tokenizer()
+    rows = list(enumerate([*STRANGE, None]))
+    encoded = bpe.encode_documents(docs_of(spark, rows), queries.tokenizer_path(), digests=True)
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode_documents(encoded, queries.tokenizer_path()).collect()}
+    want = {i: t.decode(t.encode(x or "", add_special_tokens=False).ids, skip_special_tokens=False) for i, x in rows}
+    assert got == want
+    assert {r["doc_id"]: r["decoded_sha256"] for r in encoded.collect()} == {i: hashlib.sha256(x.encode()).hexdigest() for i, x in want.items()}
+
+
 # -- queries and pipeline
 
 

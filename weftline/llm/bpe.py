@@ -234,6 +234,10 @@ class WordBPE:
             out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])))
         return out
 
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Tokens of the ids joined by spaces, as the file names no decoder; an id that the file lacks is a KeyError."""
+        return b" ".join([self.names[i] for i in ids.tolist()])
+
 
 _loaded: dict[str, WordBPE] = {}
 
@@ -274,7 +278,20 @@ def encode_documents(documents: DataFrame, path: str, ids: bool = True, digests:
                 flat = pa.Array.from_buffers(pa.int32(), offs[-1], [None, pa.py_buffer(b"".join(x for x, _ in got))])
                 out.append(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat))
             if digests:
-                out += [pa.array([sha(x).hexdigest() for x, _ in got], pa.string()), pa.array([sha(y).hexdigest() for _, y in got], pa.string())]
+                out += [pa.array([sha(x).hexdigest() for x, _ in got], pa.string()), pa.array([sha(bpe.decode(np.frombuffer(x, "<i4"))).hexdigest() for x, _ in got], pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return df.mapInArrow(run, schema)
+
+
+def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
+    """doc_id and decoded, the text of the ids; null ids decode to ""."""
+    small_batches(encoded.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for b in batches:
+            texts = [bpe.decode(np.array(x or [], np.int32)).decode() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
+
+    return encoded.select("doc_id", ids).mapInArrow(run, "doc_id long, decoded string")
