@@ -8,6 +8,7 @@ columns of its input, whatever they are called, never reach it.
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -34,14 +35,18 @@ except OSError:
 class Scratch:
     """Tables written for one call in the folder that all machines share.
 
-    The folder is the session's ``spark.checkpoint.dir``; a temporary folder is
-    used only where that is unset (local tests). A table is a cut in the lineage:
-    a lost executor costs a reread, never a recomputation of what came before.
+    The folder is the session's ``spark.checkpoint.dir``, or else the context's
+    checkpoint folder. Where neither is set, a local master gets a temporary folder
+    and any other raises: a folder of one machine would lose data on a cluster. A
+    table is a cut in the lineage: a lost executor costs a reread, never a
+    recomputation of what came before.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="weftline-")
         self.spark, self.root = spark, f"{base.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex[:12]}"
 
@@ -106,26 +111,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLD)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_LOWER = _BYTE[_LOWER]
-_P = np.uint64(0xD6E8FEB86659FD93)  # odd, so it has an inverse mod 2**64
-_P_INV = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_pow: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow.get("p", ())) < n:
-        size = max(n, 1 << 16)
-        for key, base in (("p", _P), ("q", _P_INV)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            _pow[key] = np.multiply.accumulate(a)
-    p, q = _pow["p"][:n], _pow["q"][:n]
-    if n > 8 * STEP_BYTES:
-        _pow.clear()  # the tables of one very long text are not kept
-    return p, q
+#: Of a block of eight bytes the first n, by n.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: A word of more bytes is hashed alone.
+LONG_WORD = 512
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,13 +139,40 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased first if asked."""
+    """A 64-bit hash of each word, A-Z lower-cased first if asked: its blocks of eight bytes are mixed in one after the other."""
+    size = ends - starts
     if not len(starts):
         return np.zeros(0, np.uint64)
-    p, q = powers(len(buf))
-    h = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE_LOWER if lower else _BYTE)[buf] * p, out=h[1:])
-    return mix((h[ends] - h[starts]) * q[starts] + (ends - starts).astype(np.uint64))
+    flat = np.zeros(len(buf) + 8, np.uint8)
+    flat[: len(buf)] = _LOWER[buf] if lower else buf
+    eight = np.ndarray((len(buf) + 1,), "<u8", flat, strides=(1,))  # the eight bytes from each place on
+    h = mix((size.astype(np.uint64) + np.uint64(1)) * _GOLD)
+    live, at, left = slice(None), starts, size
+    while True:
+        h[live] = mix(h[live] ^ (eight[at] & _FIRST[np.minimum(left, 8)]))
+        more = np.flatnonzero((left > 8) & (left + (at - starts[live]) <= LONG_WORD))
+        if not len(more):
+            break
+        live = more if isinstance(live, slice) else live[more]
+        at, left = at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(size > LONG_WORD):
+        h[k] = int.from_bytes(hashlib.blake2b(flat[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def code_points(buf: np.ndarray) -> tuple[np.ndarray | None, np.ndarray]:
+    """(first bytes, code points) of the characters of whole texts in UTF-8; first bytes is None if every byte is one."""
+    wide = np.zeros(len(buf) + 3, np.uint32)
+    wide[: len(buf)] = buf
+    if not (buf >= 0x80).any():
+        return None, wide[: len(buf)]
+    at = np.flatnonzero((buf & 0xC0) != 0x80)
+    out = wide[at]
+    high = np.flatnonzero(out >= 0xC0)
+    first = at[high]
+    a, b, c, d = wide[first], wide[first + 1] & 63, wide[first + 2] & 63, wide[first + 3] & 63
+    out[high] = np.where(a < 0xE0, (a & 31) << 6 | b, np.where(a < 0xF0, (a & 15) << 12 | b << 6 | c, (a & 7) << 18 | b << 12 | c << 6 | d))
+    return at, out
 
 
 #: Slots of the filter that spares rows a shuffle; a broadcast of it holds this many numbers at most.
