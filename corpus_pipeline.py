@@ -1,4 +1,11 @@
-"""A training corpus out of ``documents``: five stages, each on what the one before kept."""
+"""A training corpus out of ``documents``: five stages, each on what the one before kept.
+
+Rows are named by file and row of the table a stage reads, never by doc_id, so
+repeated and null ids are rows like others. Nulls and odd cases: a null text is an
+empty one, which is scored by the classifier like any, and of empty texts exact
+dedup leaves one; an empty table gives an empty result; columns of ``documents``
+beyond those named in ``run`` are not read.
+"""
 
 from __future__ import annotations
 
@@ -25,18 +32,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest doc_id."""
-    scratch = Scratch(spark, "stage-near")
-    gone = scratch.keep(neardup.near_duplicates(docs).where("not kept").select("doc_id"), "gone")
-    return drop_rows(docs, gone, ["doc_id"])
+    """One row of each class of near-duplicates: the one with the smallest doc_id, then the first by file and row."""
+    placed = dedup.located(docs, Scratch(spark, "stage-near"))
+    return drop_rows(placed, neardup.near_copies(placed, ("wl_file", "wl_row")), ["wl_file", "wl_row"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no benchmark item matches."""
     scratch = Scratch(spark, "stage-leaks")
-    found = decon.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = scratch.keep(found.where("doc_id is not null").select("doc_id").distinct(), "gone")
-    return drop_rows(docs, gone, ["doc_id"])
+    placed = dedup.located(docs, scratch)
+    found = decon.contaminated(placed, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), row=("wl_file", "wl_row"))
+    gone = scratch.keep(found.select("wl_file", "wl_row").distinct(), "gone")
+    return drop_rows(placed, gone, ["wl_file", "wl_row"]).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

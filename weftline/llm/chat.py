@@ -52,17 +52,28 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(role, F.lit("%0A"), F.lit("\n")), F.lit("%3C"), F.lit("<")), F.lit("%25"), F.lit("%"))
 
 
-def turns_to_log(turns: DataFrame) -> DataFrame:
+def turns_to_log(turns: DataFrame, drafts: int = 4) -> DataFrame:
     """Play whole turns (conv_id, turn, role, text) as a log of streamed deltas.
 
     Rows go by turn, nulls first, then role and text, so repeated turns stay apart.
+    Of ``drafts`` messages, by a hash, one is streamed in part, then regenerated, and
+    one starts with a draft that an edit replaces by its first part; 0 for none.
     """
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     rows = turns.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
     text = F.coalesce("text", F.lit(""))
     parts = F.when(F.length(text) <= DELTA, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % DELTA), F.lit(0)))
-    return rows.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.posexplode(parts).alias("part", "text")).select(
-        "conv_id", (F.col("message") * F.lit(1 << 32) + F.col("part")).alias("seq"), "message", F.lit("delta").alias("kind"), "role", "text"
+    event = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("text"))
+    plain = F.transform("parts", lambda x: event("delta", x))
+    mode = F.pmod(F.xxhash64("conv_id", "message"), F.lit(drafts)) if drafts else F.lit(-1)
+    events = (
+        F.when(mode == 0, F.concat(F.array(event("delta", F.get("parts", F.lit(0))), event("regenerate", F.lit(""))), plain))
+        .when(mode == 1, F.concat(F.array(event("delta", F.lit("a draft")), event("edit", F.get("parts", F.lit(0)))), F.slice(plain, 2, F.size("parts"))))
+        .otherwise(plain)
+    )
+    rows = rows.select("conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), parts.alias("parts"))
+    return rows.select("conv_id", "message", "role", F.posexplode(events).alias("part", "event")).select(
+        "conv_id", (F.col("message") * F.lit(1 << 32) + F.col("part")).alias("seq"), "message", "event.kind", "role", "event.text"
     )
 
 

@@ -48,7 +48,7 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score_texts(_read(spark, sf_dir, "documents"), fold("doc_id", 7) != 2, depth=5)
-    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op7_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,6 +120,8 @@ ORACLES = {
         x AS (SELECT doc_id, item_id, n, shift, unnest(range(1, n + 1)) AS j, js FROM m),
         c AS (SELECT doc_id, item_id, n, shift, j, sum(CASE WHEN list_contains(js, j) THEN 1 ELSE -2 END) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j) AS c FROM x),
         k AS (SELECT *, least(0, min(c) OVER (PARTITION BY doc_id, item_id, shift ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS low FROM c),
-        b AS (SELECT doc_id, item_id, n, max(c - low) AS score FROM k GROUP BY ALL)
-        SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score, CAST(max(n) AS BIGINT) AS item_words FROM b WHERE score >= least(10.0, greatest(6.0, n / 2)) GROUP BY doc_id, item_id""",
+        b AS (SELECT doc_id, item_id, n, max(c - low) AS score FROM k GROUP BY ALL),
+        f AS (SELECT doc_id, item_id, score, n FROM b WHERE score >= least(10.0, greatest(6.0, n / 2))
+            UNION ALL SELECT d.doc_id, i.item_id, len(i.w), len(i.w) FROM d JOIN i ON d.w = i.w WHERE len(i.w) BETWEEN 1 AND 5)
+        SELECT doc_id, item_id, CAST(max(score) AS BIGINT) AS score, CAST(max(n) AS BIGINT) AS item_words FROM f GROUP BY doc_id, item_id""",
 }
