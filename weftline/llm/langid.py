@@ -11,15 +11,21 @@ Most texts are in one language. For these the path is known without the dynamic
 programme: leaving the best language pays at least one penalty, so if no run of
 words gains as much elsewhere, the constant path is the best one.
 
+A letter is a code point of a Unicode category L; its script is told by the first
+word of its Unicode name. Digits, marks, signs and punctuation are no letters.
+
 Nulls and odd cases: a null text or one without a letter is ``und`` with score 0
 and no spans; with nothing to learn from, everything is ``und``; languages tie by
-name; a null doc_id counts as empty text in the hold-out rule; repeated rows are
-labelled each.
+name; rows without doc_id are not learned from; rows that repeat id and language
+are learned from once, with the least of their texts; repeated rows are labelled
+each. Empty input, empty result.
 """
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,24 +34,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, fold, small_batches, steps, word_hashes, words
+from .common import code_points, flat_text, fold, small_batches, steps, word_hashes, words
 
 BITS = 15
 NGRAMS = (1, 2, 3, 4)
-LETTER = re.compile(r"[^\W\d_]")
-
-# Scripts by first byte of UTF-8 (and, in E0 and E3, by the second): 1 Latin, 2 Greek, 4 Cyrillic, 8 Hebrew, 16 Arabic,
-# 32 Indic and other South Asian, 64 Kana, 128 Han, 256 Hangul. Marks, digits and signs belong to none.
-_SCRIPT = np.zeros(256, np.uint16)
-_SCRIPT[65:91] = _SCRIPT[97:123] = _SCRIPT[0xC3:0xCA] = 1
-_SCRIPT[0xCD:0xD0] = 2
-_SCRIPT[0xD0:0xD5] = 4
-_SCRIPT[0xD6:0xD8] = 8
-_SCRIPT[0xD8:0xDC] = 16
-_SCRIPT[0xE0] = 32
-_SCRIPT[0xE3] = 64
-_SCRIPT[0xE4:0xEA] = 128
-_SCRIPT[0xEA:0xEE] = 256
+#: Scripts that words are told apart by, as the first word of their letters' Unicode names; all others are one more.
+SCRIPTS = (
+    "LATIN GREEK CYRILLIC ARMENIAN HEBREW ARABIC SYRIAC THAANA DEVANAGARI BENGALI GURMUKHI GUJARATI ORIYA TAMIL TELUGU KANNADA MALAYALAM SINHALA THAI LAO TIBETAN MYANMAR "
+    "GEORGIAN HANGUL ETHIOPIC CHEROKEE CANADIAN KHMER MONGOLIAN HIRAGANA KATAKANA BOPOMOFO CJK YI JAVANESE TIFINAGH NKO"
+).split()
+_BIT = np.array([0, *(1 << k for k in range(len(SCRIPTS) + 1))], np.uint64)
+
+
+@functools.cache
+def script_table() -> np.ndarray:
+    """By code point: 0 if it is no letter, else one more than the place of its script in SCRIPTS."""
+    place, out = {name: k + 1 for k, name in enumerate(SCRIPTS)}, np.zeros(0x110000, np.uint8)
+    for c in range(0x110000):
+        if unicodedata.category(chr(c))[0] == "L":
+            name = unicodedata.name(chr(c), "").replace("FULLWIDTH ", "").replace("HALFWIDTH ", "")
+            out[c] = place.get(re.split("[ -]", name)[0], len(SCRIPTS) + 1)
+    return out
+
+
+def letter_scripts(buf: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """At the first byte of each letter its entry in the table, 0 elsewhere (whole characters of UTF-8)."""
+    at, points = code_points(buf)
+    if at is None:
+        return table[points]
+    out = np.zeros(len(buf), np.uint8)
+    out[at] = table[points]
+    return out
 
 
 def _slots(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +107,7 @@ class LanguageModel:
     langs: list[str]
     weight: np.ndarray  # [slots, languages], log-probabilities; row 0 is 0
     scripts: np.ndarray  # [languages] mask of scripts seen
+    table: np.ndarray  # scripts of code points
     penalty: float = 12.0
     impossible: float = -1e4
 
@@ -97,7 +117,7 @@ class LanguageModel:
         for k in range(1, slots.shape[1]):
             total += self.weight[slots[:, k]]
         scores = np.add.reduceat(total, at, axis=0) if len(at) else total
-        mask = np.bitwise_or.reduceat(np.append(_SCRIPT[buf], np.uint16(0)), np.stack([starts, ends], 1).ravel())[::2] if len(starts) else np.zeros(0, np.uint16)
+        mask = np.bitwise_or.reduceat(np.append(_BIT[letter_scripts(buf, self.table)], np.uint64(0)), np.stack([starts, ends], 1).ravel())[::2] if len(starts) else np.zeros(0, np.uint64)
         fits = (mask[:, None] & self.scripts[None, :]) != 0
         fits |= ~fits.any(axis=1, keepdims=True)  # a script no language was seen with tells nothing
         return np.where(fits, scores, scores + self.impossible)
@@ -125,7 +145,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     size = first[hard + 1] - first[hard]
     order = np.argsort(-size, kind="stable")
     at, size = first[hard][order], size[order]
-    back = np.zeros(scores.shape, np.uint8)
+    back = np.zeros(scores.shape, np.int16)
     stay = np.arange(n_lang)
     v = scores[at].astype(np.float64)
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1), "right")  # texts with more than t words
@@ -149,30 +169,28 @@ def train(rows: list[tuple[str, str]], penalty: float = 12.0) -> LanguageModel:
     """Add-half n-gram log-probabilities by language, a table for each n."""
     langs = sorted({lang for _, lang in rows})
     counts = np.zeros((len(NGRAMS) << BITS, len(langs)))
-    scripts = np.zeros((len(langs), 16))
+    scripts, table = np.zeros((len(langs), len(_BIT)), np.int64), script_table()
     for text, lang in rows:
         buf = np.frombuffer(text.encode(), np.uint8)
         starts, ends, _ = words(buf, np.array([0, len(buf)]))
         k = langs.index(lang)
         slots, _ = _slots(buf, starts, ends)
         counts[:, k] += np.bincount(slots.ravel(), minlength=len(counts) + 1)[1:]
-        scripts[k] += [((_SCRIPT[buf] >> b) & 1).sum() for b in range(16)]
+        scripts[k] += np.bincount(letter_scripts(buf, table), minlength=len(_BIT))
     w = np.zeros((len(counts) + 1, len(langs)), np.float32)
     for k in range(len(NGRAMS)):
         part = counts[k << BITS : (k + 1) << BITS] + 0.5
         w[1 + (k << BITS) : 1 + ((k + 1) << BITS)] = np.log(part / part.sum(axis=0)) / len(NGRAMS)
+    scripts[:, 0] = 0
     seen = scripts > 0.001 * np.maximum(1, scripts.sum(axis=1, keepdims=True))
-    return LanguageModel(langs, w, (seen * (1 << np.arange(16))).sum(axis=1).astype(np.uint16), penalty)
+    return LanguageModel(langs, w, np.where(seen, _BIT, np.uint64(0)).sum(axis=1, dtype=np.uint64), table, penalty)
 
 
 def fit_languages(documents: DataFrame, max_rows: int = 1500, penalty: float = 12.0) -> LanguageModel:
-    """Learn from at most ``max_rows`` rows with a language, outside the held-out fold, taken by a hash of their id."""
-    rows = (
-        documents.select("doc_id", "text", "lang")
-        .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
-        .select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
-    )
-    texts = documents.select("doc_id", "text", "lang").where("text is not null").join(F.broadcast(rows), ["doc_id", "lang"]).toArrow()
+    """Learn from at most ``max_rows`` ids with a language, outside the held-out fold, taken by a hash of their id."""
+    rows = documents.select("doc_id", "text", "lang").where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", 4) != 2))
+    picked = rows.select("doc_id", "lang").distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(max_rows)
+    texts = rows.join(F.broadcast(picked), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow()
     return train(list(zip(texts["text"].to_pylist(), texts["lang"].to_pylist(), strict=True)), penalty)
 
 
@@ -201,7 +219,7 @@ def label_languages(documents: DataFrame, model: LanguageModel) -> DataFrame:
 def label(m: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> tuple[list, list, list]:
     """Languages, scores and spans of some texts."""
     starts, ends, first = words(buf, offs)
-    letters = np.concatenate([[0], np.cumsum((_SCRIPT[buf] != 0))])
+    letters = np.concatenate([[0], np.cumsum(letter_scripts(buf, m.table) != 0)])
     weight = letters[ends] - letters[starts]
     if m.langs:
         scores = _scores(m, buf, starts, ends)
@@ -209,13 +227,11 @@ def label(m: LanguageModel, buf: np.ndarray, offs: np.ndarray) -> tuple[list, li
     lang, score, spans = [], [], []
     for d in range(len(offs) - 1):
         a, z = first[d], first[d + 1]
-        if not m.langs or a == z or not (weight[a:z].any() or LETTER.search(bytes(buf[offs[d] : offs[d + 1]]).decode())):
+        if not m.langs or not weight[a:z].any():
             lang.append("und"), score.append(0.0), spans.append([])
             continue
         p = path[a:z]
         share = np.bincount(p, weights=weight[a:z], minlength=len(m.langs))
-        if not share.any():
-            share = np.bincount(p, minlength=len(m.langs)).astype(float)
         k = int(share.argmax())
         lang.append(m.langs[k]), score.append(float(share[k] / share.sum()))
         cut = np.flatnonzero(np.diff(p)) + 1
