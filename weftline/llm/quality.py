@@ -1,6 +1,6 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the mean of learned vectors of its hashed words and byte n-grams; a
+A text is the mean of learned vectors of its hashed words and character n-grams; a
 softmax over that mean gives the class. Vectors and softmax are trained with
 plain numpy stochastic gradient descent on a bounded sample of labelled rows.
 A word that repeats the one before it also counts as the feature "repeat".
@@ -10,8 +10,9 @@ feature (the log-odds it contributes), 1 MB in all, whatever the corpus.
 
 Nulls and odd cases: a null or empty text has no features and gets the prior of
 the sample; rows with a null label are not learned from; a null doc_id counts
-as empty text in the hold-out rule; repeated rows are scored each; with no
-labelled rows every score is 0.5. Empty input gives an empty result.
+as empty text in the hold-out rule and is not learned from; rows that repeat a
+labelled id are learned from once, with the least of their texts; repeated rows are
+scored each; with no labelled rows every score is 0.5. Empty input gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_text, fold, mix, small_batches, steps, word_hashes, words
+from .common import code_points, flat_text, fold, mix, small_batches, steps, word_hashes, words
 
 BITS = 16
 SLOTS = 4  # tables: words, 2-, 3- and 4-grams
@@ -32,13 +33,13 @@ REPEAT = SLOTS << BITS
 SIZE = REPEAT + 1
 
 
-def _grams(buf: np.ndarray, n: int) -> np.ndarray:
-    """The slot of each n-gram of bytes, by its first byte."""
-    if len(buf) < n:
+def _grams(points: np.ndarray, n: int) -> np.ndarray:
+    """The slot of each n-gram of characters, by its first one."""
+    if len(points) < n:
         return np.zeros(0, np.uint32)
-    x = buf[: len(buf) - n + 1].astype(np.uint32)
+    x = points[: len(points) - n + 1].astype(np.uint32)
     for k in range(1, n):
-        x |= buf[k : len(buf) - n + 1 + k].astype(np.uint32) << np.uint32(8 * k)
+        x = x * np.uint32(0x9E3779B1) + points[k : len(points) - n + 1 + k]
     x *= np.uint32(2654435761)
     x ^= x >> np.uint32(15)
     x *= np.uint32(2246822519)
@@ -65,11 +66,13 @@ class QualityModel:
         total, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
         for i, j in steps(offs):
             b, o = buf[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            at, points = code_points(b)
+            q = o if at is None else np.searchsorted(at, o)  # where texts begin, in characters
             for n in (2, 3, 4):
-                c = np.concatenate([[0.0], np.cumsum(self.weight[_grams(b, n)], dtype=np.float64)])
-                end = np.maximum(o[1:] - n + 1, o[:-1])
-                total[i:j] += c[np.minimum(end, len(c) - 1)] - c[np.minimum(o[:-1], len(c) - 1)]
-                count[i:j] += end - o[:-1]
+                c = np.concatenate([[0.0], np.cumsum(self.weight[_grams(points, n)], dtype=np.float64)])
+                end = np.maximum(q[1:] - n + 1, q[:-1])
+                total[i:j] += c[np.minimum(end, len(c) - 1)] - c[np.minimum(q[:-1], len(c) - 1)]
+                count[i:j] += end - q[:-1]
             slots, first, same = _word_slots(b, o)
             c = np.concatenate([[0.0], np.cumsum(self.weight[slots] + same * self.weight[REPEAT], dtype=np.float64)])
             r = np.concatenate([[0], np.cumsum(same)])
@@ -81,8 +84,9 @@ class QualityModel:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of one text and their shares."""
     buf = np.frombuffer(text.encode(), np.uint8)
+    points = code_points(buf)[1]
     slots, _, same = _word_slots(buf, np.array([0, len(buf)]))
-    ids = np.concatenate([*(_grams(buf, n).astype(np.int64) for n in (2, 3, 4)), slots, np.full(same.sum(), REPEAT)])
+    ids = np.concatenate([*(_grams(points, n).astype(np.int64) for n in (2, 3, 4)), slots, np.full(same.sum(), REPEAT)])
     ids, c = np.unique(ids, return_counts=True)
     return ids, (c / max(1, c.sum())).astype(np.float32)
 
@@ -118,14 +122,13 @@ def train(texts: list[str], y: np.ndarray, dim: int = 16, epochs: int = 5, rate:
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, max_rows: int = 2000, label: str = "quality") -> QualityModel:
-    """Train on at most ``max_rows`` labelled rows outside the held-out fold, taken by a hash of their id."""
+    """Train on at most ``max_rows`` labelled ids outside the held-out fold, taken by a hash of their id."""
     picked = (
-        labels.select("doc_id", F.col(label).cast("int").alias("y"))
-        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
+        labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", 4) != 2))
+        .distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(max_rows)
     )
-    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("text", "ascending")])
+    rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("y", "ascending")])
     return train(rows["text"].to_pylist(), rows["y"].to_numpy().astype(np.int64))
 
 
