@@ -40,6 +40,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCALPHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 _DIGIT = re.compile(r"[0-9]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 # Characters of an iban by country.
 IBAN_CHARS = {
@@ -51,16 +52,16 @@ IBAN_CHARS = {
     for c in countries.split()
 }
 START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "card13": 0.4, "localphone": 0.4}
-# Words within WINDOW characters of a span that speak for the kind, by kind.
+# Whole words, all within WINDOW characters of a span, that speak for the kind, by kind.
 FOR = {
-    "email": ("mail", "contact", "write", "correo", "kontakt"),
+    "email": ("mail", "email", "contact", "write", "correo", "kontakt"),
     "ip": ("ip", "address", "server", "host", "dirección", "adresse"),
     "card": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
-    "phone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone"),
+    "phone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax", "telefon", "teléfono", "téléphone"),
     "iban": ("iban", "account", "bank", "konto", "cuenta", "compte"),
     "ssn": ("ssn", "social", "security"),
     "card13": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
-    "localphone": ("phone", "call", "tel", "mobile", "fax", "telefon", "teléfono", "téléphone"),
+    "localphone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax", "telefon", "teléfono", "téléphone"),
 }
 AGAINST = ("version", "isbn", "order", "page", "figure", "example")
 WINDOW, LIFT, DROP, THRESHOLD = 40, 0.35, 0.25, 0.7
@@ -142,14 +143,21 @@ def more_spans(text: str) -> list[tuple[int, str, int]]:
     return out
 
 
+def near_words(text: str, start: int, end: int) -> set[str]:
+    """The lower-cased words that lie whole within WINDOW characters before or behind a span."""
+    low, high = max(0, start - WINDOW), end + WINDOW
+    out = {m[0].lower() for m in _WORD.finditer(text, low, start) if m.start() > low or low == 0 or not _WORD.match(text[low - 1])}
+    return out | {m[0].lower() for m in _WORD.finditer(text, end, high) if m.end() < high or not _WORD.match(text[high : high + 1])}
+
+
 def score(text: str, start: int, kind: str, end: int) -> float:
-    near = text[max(0, start - WINDOW) : start].lower() + " " + text[end : end + WINDOW].lower()
+    near = near_words(text, start, end)
     s = START[kind]
-    if any(w in near for w in FOR[kind]):
+    if not near.isdisjoint(FOR[kind]):
         s += LIFT
-    if any(w in near for w in AGAINST):
+    if not near.isdisjoint(AGAINST):
         s -= DROP
-    return min(1.0, max(0.0, s))
+    return round(min(1.0, max(0.0, s)), 6)
 
 
 def _inside(spans: list[tuple[int, int]], x: tuple[int, str, int]) -> bool:
@@ -171,13 +179,13 @@ def _line(spans) -> str:
 
 
 SCHEMA = (
-    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, "
+    "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_spans long, base_sha256 string, spans string, scores string, "
     "found array<struct<kind:string,start:int,end:int,score:double>>"
 )
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
-    """Per row: counts of base kinds, digest of base spans, all spans as text and, in ``found``, with scores."""
+    """Per row: counts of base kinds and of all spans, digest of base spans, all spans and their scores as text and, in ``found``, as rows."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +195,10 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
             cols = {"doc_id": b.column(0)}
             for kind in BASE:
                 cols[f"n_{kind}"] = pa.array([sum(x[1] == kind for x in r) for r in base], pa.int64())
+            cols["n_spans"] = pa.array([len(r) for r in rows], pa.int64())
             cols["base_sha256"] = pa.array([hashlib.sha256(_line(r).encode()).hexdigest() for r in base], pa.string())
             cols["spans"] = pa.array([_line(r) for r in rows], pa.string())
+            cols["scores"] = pa.array([",".join(f"{x[3]:.2f}" for x in r) for r in rows], pa.string())
             cols["found"] = pa.array(
                 [[{"kind": k, "start": a, "end": z, "score": s} for a, k, z, s in r] for r in rows],
                 pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])),
