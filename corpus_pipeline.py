@@ -47,8 +47,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns, n_tokens and token_ids."""
-    return bpe.encode_documents(docs, tokenizer_path())
+    """The documents' columns, n_tokens, token_ids, and digests of the ids and of the text that they decode to."""
+    return bpe.encode_documents(docs, tokenizer_path(), digests=True)
 
 
 STAGES = [("quality", keep_good), ("exact_dedup", drop_copies), ("near_dedup", drop_near_copies), ("decontaminate", drop_leaks), ("bpe", encode)]
@@ -61,6 +61,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again before the next."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    for name, stage in STAGES[:-1]:
+    for k, (name, stage) in enumerate(STAGES[:-1]):
         docs = scratch.keep(stage(spark, docs, sf_dir), name).select(*docs.columns)
-    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "n_tokens", F.xxhash64("token_ids").alias("ids_hash"), "token_ids")
+        if k:  # what the stage has read is no longer needed
+            scratch.drop(STAGES[k - 1][0])
+    return STAGES[-1][1](spark, docs, sf_dir).select("doc_id", "n_tokens", F.xxhash64("token_ids").alias("ids_hash"), "token_ids", "decoded_sha256")

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import small_batches
+from .common import small_batches, trimmed
 
 LONG = 200
 NONE = (1 << 31) - 1
@@ -86,7 +86,7 @@ class PairRanks:
 class WordBPE:
     """Tokenizer of the kind "BPE with word ends"; the file says its vocabulary, merges, words and special tokens."""
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 200_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -107,8 +107,8 @@ class WordBPE:
         self.word = regex.compile(split)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.most = most
-        self.words: dict[str, tuple[bytes, bytes]] = {}
-        self.pieces: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words end to end, where each word's ids begin, and the end), many words at a time: row by row the parts of a word and the ranks of its neighbours."""
@@ -206,33 +206,32 @@ class WordBPE:
         """Put pieces into the table, which starts afresh when full."""
         if len(self.pieces) + len(pieces) > self.most:
             self.pieces.clear(), self.words.clear()
-            self.words |= {t: (i.to_bytes(4, "little"), t.encode()) for t, i in self.special.items()}
-        elif not self.words:
-            self.words |= {t: (i.to_bytes(4, "little"), t.encode()) for t, i in self.special.items()}
+        if not self.words:
+            self.words |= {t: i.to_bytes(4, "little") for t, i in self.special.items()}
         parts = {p: self._parts(p) for p in pieces}
         new = list({w for x in parts.values() for w in x} - self.words.keys())
         if new:
             ids, first = self.merge(new)
-            raw, text = ids.astype("<i4").tobytes(), [self.names[i] for i in ids.tolist()]
+            raw = ids.astype("<i4").tobytes()
             for w, a, z in zip(new, first.tolist(), first[1:].tolist()):
-                self.words[w] = raw[4 * a : 4 * z], b" ".join(text[a:z])
+                self.words[w] = raw[4 * a : 4 * z]
         known = self.words
         for p, x in parts.items():
-            self.pieces[p] = known[x[0]] if len(x) == 1 else (b"".join([known[w][0] for w in x]), b" ".join([d for w in x if (d := known[w][1])]))
+            self.pieces[p] = known[x[0]] if len(x) == 1 else b"".join([known[w] for w in x])
 
-    def encode_texts(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """Ids (little-endian, 32 bits each) and decoded text: tokens joined by spaces, as the file names no decoder."""
-        out = []
+    def encode_ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, little-endian, 32 bits each."""
         known = self.pieces
         lists = [t.split() for t in texts]
         new = {p for x in lists for p in x if p not in known}
         if len(new) + len(known) > self.most:  # as if the table had been empty
             new = {p for x in lists for p in x}
         self.learn(new)
-        for x in lists:
-            got = [known[p] for p in x]
-            out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got if g[1]])))
-        return out
+        return [b"".join([known[p] for p in x]) for x in lists]
+
+    def encode_texts(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """Ids and the text that they decode to."""
+        return [(x, self.decode(np.frombuffer(x, "<i4"))) for x in self.encode_ids(texts)]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """Tokens of the ids joined by spaces, as the file names no decoder; an id that the file lacks is a KeyError."""
@@ -250,14 +249,15 @@ def tokenizer(path: str) -> WordBPE:
 
 
 def encode_documents(documents: DataFrame, path: str, ids: bool = True, digests: bool = False, text: str = "text") -> DataFrame:
-    """All columns of ``documents`` (or only doc_id with ``digests``) and
-    n_tokens, token_ids (with ``ids``), or ids_sha256 and decoded_sha256 (with ``digests``).
+    """All columns of ``documents`` (or only doc_id without ``ids``) and n_tokens, token_ids (with ``ids``),
+    ids_sha256 and decoded_sha256, the digest of the text that the ids decode to (with ``digests``).
 
     ``path`` is read on each machine that runs tasks.
     """
     small_batches(documents.sparkSession)
-    df = documents.select("doc_id", text) if digests else documents
-    at, keep = df.columns.index(text), ["doc_id"] if digests else [c for c in df.columns if c not in ("n_tokens", "token_ids")]
+    df = documents if ids else documents.select("doc_id", text)
+    made = ("n_tokens", "token_ids", "ids_sha256", "decoded_sha256")
+    at, keep = df.columns.index(text), [c for c in df.columns if c not in made] if ids else ["doc_id"]
     places = [df.columns.index(c) for c in keep]
     schema = df.select(*keep).schema.add("n_tokens", "long")
     if ids:
@@ -269,19 +269,19 @@ def encode_documents(documents: DataFrame, path: str, ids: bool = True, digests:
         bpe = tokenizer(path)
         sha = hashlib.sha256
         for b in batches:
-            got = bpe.encode_texts([t.encode() if t else b"" for t in b.column(at).to_pylist()])
-            out = [b.column(k) for k in places] + [pa.array([len(x) // 4 for x, _ in got], pa.int64())]
+            got = bpe.encode_ids([t.encode() if t else b"" for t in b.column(at).to_pylist()])
+            out = [b.column(k) for k in places] + [pa.array([len(x) // 4 for x in got], pa.int64())]
             if ids:
                 offs = [0]
-                for x, _ in got:
+                for x in got:
                     offs.append(offs[-1] + len(x) // 4)
-                flat = pa.Array.from_buffers(pa.int32(), offs[-1], [None, pa.py_buffer(b"".join(x for x, _ in got))])
+                flat = pa.Array.from_buffers(pa.int32(), offs[-1], [None, pa.py_buffer(b"".join(got))])
                 out.append(pa.ListArray.from_arrays(pa.array(offs, pa.int32()), flat))
             if digests:
-                out += [pa.array([sha(x).hexdigest() for x, _ in got], pa.string()), pa.array([sha(bpe.decode(np.frombuffer(x, "<i4"))).hexdigest() for x, _ in got], pa.string())]
+                out += [pa.array([sha(x).hexdigest() for x in got], pa.string()), pa.array([sha(bpe.decode(np.frombuffer(x, "<i4"))).hexdigest() for x in got], pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids") -> DataFrame:
@@ -294,4 +294,4 @@ def decode_documents(encoded: DataFrame, path: str, ids: str = "token_ids") -> D
             texts = [bpe.decode(np.array(x or [], np.int32)).decode() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", ids).mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", ids).mapInArrow(trimmed(run), "doc_id long, decoded string")

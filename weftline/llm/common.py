@@ -25,6 +25,7 @@ STEP_BYTES = 1 << 18
 BATCH_ROWS = 1000
 
 
+_libc = None
 try:  # glibc gives arrays of some MB back to the system at each turn; asking for them again costs more than the arithmetic
     _libc = ctypes.CDLL("libc.so.6")
     _libc.mallopt(-3, 32 << 20), _libc.mallopt(-1, 32 << 20)
@@ -32,6 +33,23 @@ except OSError:
     pass
 
 
+def give_back() -> None:
+    """Return memory that is no longer used to the system."""
+    pa.default_memory_pool().release_unused()
+    if _libc:
+        _libc.malloc_trim(0)
+
+
+def trimmed(run):
+    """A function over batches that gives memory back when a task has ended: worker processes are kept for the tasks to come."""
+
+    def go(batches):
+        yield from run(batches)
+        give_back()
+
+    return go
+
+
 class Scratch:
     """Tables written for one call in the folder that all machines share.
 
@@ -40,28 +58,45 @@ class Scratch:
     and any other raises: a folder of one machine would lose data on a cluster. A
     table is a cut in the lineage: a lost executor costs a reread, never a
     recomputation of what came before.
+
+    With a ``folder`` of the caller's the tables go there and stay: a call that was
+    cut short is resumed by the same call with the same folder and input, which
+    takes every table that is complete as it is.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, folder: str | None = None):
+        self.spark, self.resumes = spark, folder is not None
+        if folder:
+            self.root = folder.rstrip("/")
+            return
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
             base = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        self.spark, self.root = spark, f"{base.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{base.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        if not (self.resumes and self._is_there(f"{name}/_SUCCESS")):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _file(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _is_there(self, name: str) -> bool:
+        path, files = self._file(name)
+        return files.exists(path)
+
     def drop(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
-        for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        """Delete tables, but for those in a folder of the caller's."""
+        for name in names if not self.resumes else ():
+            path, files = self._file(name)
+            files.delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -11,8 +11,10 @@ locator and compared with each other row of its digest, in a join that Spark
 splits where one digest is hot. Rows that share a digest but not the bytes make
 groups of their own.
 
-The stream's checkpoint (offsets and state) is in the shared folder, each micro-
-batch overwrites its own output, so a restart gives the same result.
+The stream's checkpoint (offsets and state) is in the shared folder and each micro-
+batch overwrites its own output. With a ``folder`` of the caller's, intake, state
+and output stay there: a run that broke off is resumed by the same call, from the
+micro-batch it had reached, with the same result.
 
 Nulls and odd cases: null counts as empty text; a null doc_id is smaller than any
 id; of rows that repeat id and text one stays (the last by locator). Empty input,
@@ -70,10 +72,10 @@ def stream_groups(intake_path: str, schema, scratch: Scratch, files_per_batch: i
     return scratch.keep(last.select("digest", "x.n", "x.keep"), "groups")
 
 
-def exact_duplicates(documents: DataFrame, name: str = "dedup", files_per_batch: int = FILES_PER_BATCH) -> tuple[DataFrame, DataFrame]:
+def exact_duplicates(documents: DataFrame, name: str = "dedup", files_per_batch: int = FILES_PER_BATCH, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, located documents). Rows: doc_id, wl_file, wl_row, digest, keep (doc_id, wl_file, wl_row), group_size, kept."""
     spark = documents.sparkSession
-    scratch = Scratch(spark, name)
+    scratch = Scratch(spark, name, folder)
     docs = located(documents, scratch)
     body = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(body.cast("binary"), 256)).alias("digest")

@@ -409,9 +409,12 @@ def score_texts(documents: DataFrame, learn, name: str = "lm", depth: int = DEPT
     tail = tail.groupBy("row").agg(F.sum("known").alias("tail_known"), F.sum("base").alias("tail_base"), F.sum("lm").alias("tail_lm"))
     log_all = float(np.log10(total + distinct + 1))
     score = F.col("score") + F.coalesce("tail_lm", F.lit(0.0))
-    return scored.drop("rest", "times", "cell_rest", "cell_times").join(tail, "row", "left").select(
+    result = scored.drop("rest", "times", "cell_rest", "cell_times").join(tail, "row", "left").select(
         "doc_id", "learned", "n_tokens",
         (F.col("known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0)) - F.col("n_tokens") * log_all).alias("base_score"), score.alias("score"),
         (-score / float(np.log10(2)) / F.greatest("bytes", F.lit(1))).alias("bits_per_byte"),
     )
+    result = scratch.keep(result, "result")
+    scratch.drop("counts", "tree", "cells", "scored")
+    return result

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import Scratch, flat_text, mix, small_batches, steps, word_hashes, words
+from .common import Scratch, flat_text, mix, small_batches, steps, trimmed, word_hashes, words
 
 PLACES, ROWS = 128, 4
 BANDS = PLACES // ROWS
@@ -301,7 +301,7 @@ def near_classes(rows: DataFrame, percent: int, scratch: Scratch, extra: tuple[s
     key = F.xxhash64("doc_id", "text").alias("wl_key")
     passed = rows.select("text", "doc_id", key, *extra)
     schema = passed.drop("text").schema.add("n_shingles", "long").add("d0", "long").add("d1", "long").add("bands", ArrayType(LongType()))
-    signed = scratch.keep(passed.mapInArrow(_sign, schema), "signed")
+    signed = scratch.keep(passed.mapInArrow(trimmed(_sign), schema), "signed")
     entering = signed.where(f"n_shingles > 0 and ({where})")
     classes = entering.groupBy("d0", "d1").agg(F.min("wl_key").alias("key"), F.min("doc_id").alias("least_id"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     classes = scratch.keep(classes, "classes")
@@ -326,7 +326,7 @@ def near_classes(rows: DataFrame, percent: int, scratch: Scratch, extra: tuple[s
         texts = rows.select(key.alias("key"), F.col("text").cast("binary").alias("body")).withColumn("slot", F.pmod("key", F.lit(SLOTS))).join(slots, "slot", "left_semi")
         texts = texts.groupBy("key").agg(F.first("body").alias("body"))
         sent = dealt.join(texts, "key").repartition("p", "unit").sortWithinPartitions("p", "unit", "side", "key")
-        return scratch.keep(sent.select("p", "unit", "large", "root", "key", "body").mapInArrow(_verify(percent), "a long, b long, p long, key long, slice int"), name)
+        return scratch.keep(sent.select("p", "unit", "large", "root", "key", "body").mapInArrow(trimmed(_verify(percent)), "a long, b long, p long, key long, slice int"), name)
 
     first = verified(members.unionByName(heads), "first")
     links = first.where("a is not null").select("a", "b")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, flat_text, fold, mix, small_batches, steps, word_hashes, words
+from .common import code_points, flat_text, fold, mix, small_batches, steps, trimmed, word_hashes, words
 
 BITS = 16
 SLOTS = 4  # tables: words, 2-, 3- and 4-grams
@@ -143,7 +143,7 @@ def score_quality(documents: DataFrame, model: QualityModel, threshold: float =
             s = shared.value.score(*flat_text(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], names=["doc_id", "score"])
 
-    scored = documents.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = documents.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -157,4 +157,4 @@ def keep_quality(documents: DataFrame, model: QualityModel, threshold: float = 0
         for b in batches:
             yield b.filter(pa.array(shared.value.score(*flat_text(b.column(at))) >= threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)

@@ -40,7 +40,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches
+from .common import SLOTS, Scratch, small_batches
 
 BLOCK_LINES = 500
 #: Captures that one task looks up or reads; a few lines of index stand for much payload, so sizes of index rows do not tell.
@@ -273,12 +273,16 @@ def fetch(captures: DataFrame, folder: str, tasks: int) -> DataFrame:
     return ranged.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string")
 
 
-def with_revisits(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) and refers_to: the largest page_id of an equal payload, where that is another row's."""
-    digest = F.sha1(F.coalesce("html", F.lit("")))
-    rows = pages.select("page_id", "url", "html", digest.alias("digest"))
-    shared = pages.select(digest.alias("digest"), "page_id").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(shared, "digest", "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept")).alias("refers_to"))
+def with_revisits(pages: DataFrame, scratch: Scratch) -> DataFrame:
+    """pages(page_id, url, html) and refers_to: the largest page_id of an equal payload, where that is another row's. Only pages that may have a repeated payload are shuffled."""
+    rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit(""))).alias("digest"))
+    shared = scratch.keep(rows.groupBy("digest").agg(F.max("page_id").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n"), "shared")
+    marked = rows.withColumn("wl_slot", F.pmod(F.xxhash64("digest"), F.lit(SLOTS)))
+    slots = F.broadcast(shared.select(F.pmod(F.xxhash64("digest"), F.lit(SLOTS)).alias("wl_slot")).distinct())  # SLOTS rows at most
+    alone = marked.join(slots, "wl_slot", "left_anti").withColumn("kept", F.col("page_id"))
+    others = marked.join(slots, "wl_slot", "left_semi").join(shared, "digest", "left").withColumn("kept", F.coalesce("kept", "page_id"))
+    known = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
+    return alone.select("page_id", "url", "html", "kept").unionByName(others.select("page_id", "url", "html", "kept")).select("page_id", "url", "html", known.alias("refers_to"))
 
 
 def archive_and_read(pages: DataFrame, name: str = "warc") -> DataFrame:
@@ -287,7 +291,7 @@ def archive_and_read(pages: DataFrame, name: str = "warc") -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, name)
     data, index = scratch.path("archive"), scratch.path("index")
-    captures = scratch.keep(write_archive(with_revisits(pages), data), "captures")
+    captures = scratch.keep(write_archive(with_revisits(pages, scratch), data), "captures")
     shards = scratch.keep(write_index(captures, index), "shards")
     table = [(r["first_key"], r["shard"]) for r in shards.select("first_key", "shard").collect()]
     tasks = 1 + (shards.agg(F.sum("lines")).first()[0] or 0) // TASK_CAPTURES
