@@ -243,19 +243,87 @@ def test_built_cues_do_not_overlap():
         segs.append({"start": at, "end": times[-1] + 400, "tokens": [rnd.choice(["▁a", "b", ".", "▁long", "。"]) for _ in range(n)], "times": times})
         at = segs[-1]["end"] + rnd.randrange(0, 800)
     out = cuebuild.build(segs)
-    assert out and all(c["end"] >= c["start"] for c in out) and all(a["end"] <= b["start"] for a, b in zip(out, out[1:]))
+    assert out and all(c["end"] > c["start"] for c in out) and all(a["end"] <= b["start"] for a, b in zip(out, out[1:]))
     again = cuebuild.resplit([s | {"continuous": True} for s in segs])
     assert sum(len(s["tokens"]) for s in again) == sum(len(s["tokens"]) for s in segs)
 
 
+def _segment(start, end, words, times, **more):
+    return {"start": start, "end": end, "tokens": words, "times": times, **more}
+
+
+def test_cues_of_one_segment():
+    plain = _segment(1000, 3000, list("今日は。"), [1300, 1600, 1900, 2200])
+    assert [(c["start"], c["end"], c["offsets"]) for c in cuebuild.build([plain])] == [(1000, 3000, [300, 600, 900, 1200])]
+    raw = _segment(1000, 4000, list("はい。行く。"), [1400, 1600, 1800, 2900, 3100, 3300], raw_start=1500, raw_end=3700, ends=[1500, 1700, 1900, 3000, 3200, 3400])
+    a, b = cuebuild.build([raw])
+    assert (a["start"], a["end"], a["offsets"], a["end_offsets"]) == (1500, 2750, [0, 100, 300], [0, 200, 400])
+    assert (b["start"], b["end"], b["text"]) == (2750, 3780, "行く。")
+    short = _segment(1000, 4000, list("うん"), [1100, 1200], raw_start=1000, raw_end=1200)
+    longer = _segment(1000, 4000, list("うんうんうん"), [1100 + 10 * k for k in range(6)], raw_start=1000, raw_end=1200)
+    assert cuebuild.build([short])[0]["end"] == 1500 and cuebuild.build([longer])[0]["end"] == 1800
+    assert cuebuild.build([short | {"end": 1300}])[0]["end"] == 1300
+    assert cuebuild.build([_segment(0, 900, ["。", "！"], [100, 200])]) == []
+    assert [c["text"] for c in cuebuild.build([_segment(0, 900, ["♪"], [100])])] == ["♪"]
+    assert cuebuild.one_per_segment([_segment(90, 900, ["a"], [100], raw_start=0, raw_end=800)])[0]["start"] == 0
+
+
+def test_files_have_clocks_of_their_own():
+    segs = [_segment(0, 900, ["b"], [100], file=1), _segment(0, 900, ["a"], [100]), _segment(800, 1500, ["c"], [900])]
+    assert [(c["text"], c["start"], c["end"]) for c in cuebuild.build(segs, [0, 5000])] == [("a", 0, 800), ("c", 800, 1500), ("b", 5000, 5900)]
+    assert [(c["start"], c["end"]) for c in cuebuild.one_per_segment(segs, [0, 5000])] == [(0, 900), (800, 1500), (5000, 5900)]
+
+
+def test_only_windows_of_a_grid_are_cut_anew():
+    plain = [_segment(0, 4000, ["a", "b"], [500, 2500])]
+    assert cuebuild.resplit(plain) is plain
+    grid = [_segment(0, 2000, ["a", "b"], [100, 1900], continuous=True), _segment(2000, 4000, ["c"], [2300], continuous=True), _segment(4500, 6000, ["d"], [4600], continuous=True), _segment(6000, 9000, ["e", "f"], [6100, 8000])]
+    got = cuebuild.resplit(grid)
+    assert [(s["start"], s["end"], s["tokens"]) for s in got] == [(0, 500, ["a"]), (1780, 2700, ["b", "c"]), (4500, 5000, ["d"]), (6000, 9000, ["e", "f"])]
+    assert [s.get("raw_start") for s in got] == [0, 1780, 4500, None]
+
+
 # -- books
 
 
+def test_a_gap_that_is_left_out_costs_nothing():
+    """One gap far too long, then one that can be filled."""
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    a, b, c, d, e, long = text(30), text(30), text(30), text(30), text(30), text(60_000)
+    own = B.Book([a + long + b + c + d + e])
+    cues = [a, *[text(12) for _ in range(200)], b, c, d, e]
+    at = [30 + len(long) + 30 * k for k in range(5)]
+    first = [B.Match(0, 30, 1.0), *[None] * 200, B.Match(at[0], at[1], 1.0), B.Match(at[1], at[2], 1.0), None, B.Match(at[3], at[4], 1.0)]
+    got = B.fill_gaps(cues, own, first)
+    assert got[203] == B.Match(at[2], at[3], 1.0) and got[1:201] == [None] * 200
+
+
+def test_inexact_and_slight_matches_are_cut_anew():
+    """A soft match gives up what a cue beside it needs, a slight one in the wrong place moves; fixed ones and limits between them stay."""
+    own = B.Book(["abcdefghij klmnopqrst uvwxyz0123 ou 456789abcd"])
+    cues = ["abcdefghij", "klmnopqrsx", "uvwxyz01", "456789abcd"]
+    first = [B.Match(0, 10, 1.0), B.Match(10, 24, 0.8), None, B.Match(32, 42, 1.0)]
+    got = B.fill_gaps(cues, own, first)
+    assert got[0] == first[0] and got[3] == first[3] and got[1].end <= got[2].start and got[1].start == 10 and got[2].start == 20 and got[2].score == 1.0
+    slight = B.fill_gaps(["abcdefghij", "ou", "uvwxyz0123", "456789abcd"], own, [B.Match(0, 10, 1.0), B.Match(11, 13, 0.5), None, B.Match(32, 42, 1.0)])
+    assert slight[2] == B.Match(20, 30, 1.0)
+    assert B.fill_gaps(cues, own, [None, None, first[0], None]) == [None, None, first[0], None]
+
+
 def test_reading_track_maps_back():
     track, place, back = B.reading_track("漢字です", [(0, 2, "かんじ")])
     assert track == "かんじです" and place == [0, 0, 1, 2, 3] and back == [0, 0, 3, 4, 5]
 
 
+def test_readings_match_where_letters_do_not(spark):
+    cues = spark.createDataFrame([(1, 0, "かんじをよむ人"), (1, 1, "つぎの文です")], "book_id long, idx long, text string")
+    sections = spark.createDataFrame([(1, 0, "「漢字」を読む人。次の文です。", [(1, 3, "かんじ"), (5, 6, "よ"), (9, 10, "つぎ")])], "book_id long, idx long, text string, rubies array<struct<start:int,end:int,reading:string>>")
+    got = {r["idx"]: (r["norm_start"], r["norm_end"], r["book_text"]) for r in B.align_books(cues, sections, 200).collect()}
+    assert got == {0: (0, 6, "「漢字」を読む人。"), 1: (6, 11, "次の文です。")}
+    assert B.Book(["漢字"], [[(0, 2, " ")]]).reading is None
+
+
 def test_gaps_are_filled_between_matches():
     rnd = random.Random(12)
     words = ["".join(rnd.choice("abcdefghijk") for _ in range(rnd.randrange(3, 9))) for _ in range(400)]

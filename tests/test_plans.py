@@ -7,7 +7,7 @@ import pytest
 from weftline.plans.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
-LAZY = ["asof_section", "nearest_hits", "range_diffs", "cue_sessions", "overlap_trim", "unique_texts", "pack_override", "edit_similarity", "passage_votes", "theil_sen_rate", "merge_fragments", "gap_interpolation", "removed_spans", "fixed_spans", "gram_index", "ctc_collapse"]
+LAZY = ["asof_section", "nearest_hits", "range_diffs", "cue_sessions", "overlap_trim", "unique_texts", "pack_override", "edit_similarity", "passage_votes", "theil_sen_rate", "merge_fragments", "gap_interpolation", "removed_spans", "fixed_spans", "gram_index", "ctc_collapse", "passage_exact", "passage_dice", "post_process", "cue_build", "book_walk", "retime_on_speech", "reference_alignment"]
 
 
 def plan(df):

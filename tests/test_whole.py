@@ -27,23 +27,23 @@ def test_dice_of_whole_items(spark):
             n = items[a].total() + items[b].total()
             if a < b and 2 * (shared := (items[a] & items[b]).total()) >= 0.5 * n:
                 want[a, b] = shared, pytest.approx(2 * shared / n)
-    assert {(r["a"], r["b"]): (r["shared"], r["dice"]) for r in got(spark, "passage_dice_whole")} == want
+    assert {(r["a"], r["b"]): (r["shared"], r["dice"]) for r in got(spark, "passage_dice")} == want
 
 
 def test_speaker_cues_of_whole_turns(spark):
     rows = [(c, t * 5000 + 500, t * 5000 + 2500, f"{c}:S0{t % 2}", x.replace("[", "").replace("]", "").strip(" ")) for c, t, x in read("conv_id, turn, text", "conversations")]
-    assert sorted(map(tuple, got(spark, "speaker_cues_whole"))) == sorted(r for r in rows if r[4])
+    assert sorted(map(tuple, got(spark, "speaker_cues"))) == sorted(r for r in rows if r[4])
     assert max(len(r[4]) for r in rows) > 40
 
 
 def test_scripts_of_whole_turns(spark):
-    rows = got(spark, "ass_events_whole")
+    rows = got(spark, "ass_events")
     want = [(c, "{\\i1}" + x.replace("\r\n", " ").replace("\r", " ").replace("\n", " ")) for c, _, x in read("conv_id, turn, text", "conversations")]
     assert sorted((r["conv_id"], r["text"]) for r in rows) == sorted(want) and max(len(x) for _, x in want) > 65
 
 
 def test_files_of_whole_documents(spark):
-    rows = {r["doc_id"]: r for r in got(spark, "file_charsets_whole")}
+    rows = {r["doc_id"]: r for r in got(spark, "file_charsets")}
     docs = read("doc_id, text", "documents")
     assert len(rows) == len(docs)
     for i, t in docs:
@@ -57,7 +57,7 @@ def test_files_of_whole_documents(spark):
 
 
 def test_every_cue_is_rebased(spark):
-    rows = got(spark, "token_rebase_whole")
+    rows = got(spark, "token_rebase")
     assert sum(len(r["tokens"].split()) for r in rows) == 2 * read("count(*)", "events")[0][0]
     events = read("user_id, event_id, epoch_us(ts) // 1000, event_type", "events")
     groups = {}

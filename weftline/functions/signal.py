@@ -6,8 +6,6 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-UNKNOWN_DB = 0  # an energy frame of 0 says nothing; others lie in -100..-1
-
 
 def argmax(v: Column) -> Column:
     """Place of the largest value, the first of equals, from 0; null for an empty array."""

@@ -13,7 +13,7 @@ KEEP = (
 )
 # Half-width katakana U+FF66..U+FF9D in full width, in order.
 HALF_KATAKANA = "ヲァィゥェォャュョッーアイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワン"
-# Sentence ends, closing marks, abbreviations.
+# Sentence ends, closing marks, abbreviations, ends that stop a merge, characters counted as spoken (as KEEP), text of marks only.
 TERMINATORS = "。！？!?…‥．."
 CLOSING = "」』）)】〕》〉\"”’"
 ABBREVIATIONS = ("mr", "mrs", "ms", "dr", "prof", "sr", "jr", "st", "mt", "no", "vs", "etc")
@@ -60,6 +60,7 @@ def speech_text(c: Column) -> Column:
     plain = F.regexp_replace(c, "\r\n|\r|(?i:<br[ \t\n]*/?>)", "\n")
     plain = F.replace(F.regexp_replace(plain, r"<[^<>]*>|\{\\[^{}]*\}", ""), F.lit("&nbsp;"), F.lit(" "))
     lines = F.transform(F.split(plain, "\n"), lambda x: F.regexp_replace(x, r"^[\s\x{3000}]+|[\s\x{3000}]+$", ""))
+    # fixed values: words and signs of captions that say only that there is music
     lines = F.filter(lines, lambda x: ~x.rlike(r"^[\s♪♫♬♩~～〜]*（(?i:音楽|BGM|ＢＧＭ|前奏|間奏|後奏)）[\s♪♫♬♩~～〜]*$"))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, r"^(（[^（）\n]+）[\s\x{3000}]*)+", ""))
     return F.array_join(F.filter(lines, lambda x: ~x.rlike(r"^[\s♪♫♬♩~～〜…・.]*$")), "\n")

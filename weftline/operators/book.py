@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, replace
 
 import pandas as pd
@@ -12,8 +12,9 @@ from weftline.functions.text import CLOSING, FOLD_FROM, FOLD_TO, KEEP, TERMINATO
 
 from .matching import cursor_match
 
-# Similarity of a filled cue and of a re-cut anchor, length ratios, region and work limits.
-SIMILAR, ANCHOR, RATIOS, MAX_REGION, MAX_WORK = 0.45, 0.5, (0.3, 2.5), 4000, 10_000_000
+# Similarity of a filled cue and of a cut anew, length of a slight cue, length ratios, region and work limits.
+SIMILAR, ANCHOR, SLIGHT, RATIOS, MAX_REGION, MAX_WORK = 0.45, 0.5, 2, (0.3, 2.5), 4000, 10_000_000
+NEAR = 1e-9
 LEAD, LEAST, FRAME, MAX_CELLS, DENSITY = 150, 300, 40, 400_000, 2.0
 # Starting the walk: cues looked at, their least length, places each, share of the text that must remain, reach of support.
 PROBE, PROBE_CHARS, PLACES, REMAIN, REACH = 24, 6, 8, 0.5, 3000
@@ -48,9 +49,9 @@ class Match:
 
 
 class Book:
-    """Sections end to end, normalised, with the way back to section and source text."""
+    """Sections end to end, normalised, with the way back to section and source text; with rubies (start, end, reading) of each section a second track that has readings for their bases."""
 
-    def __init__(self, sections: list[str]):
+    def __init__(self, sections: list[str], rubies: list[list[tuple[int, int, str]]] | None = None):
         parts = [normalize(s) for s in sections]
         self.sections, self.places = sections, [p for _, p in parts]
         self.starts, at = [], 0
@@ -58,6 +59,8 @@ class Book:
             self.starts.append(at)
             at += len(t)
         self.text = "".join(t for t, _ in parts)
+        spans = [(base + bisect_left(p, a), base + bisect_left(p, z), r) for base, p, own in zip(self.starts, self.places, rubies or [[]] * len(sections), strict=True) for a, z, r in own]
+        self.reading = reading_track(self.text, spans) if any(z > a and normalize(r)[0] for a, z, r in spans) else None
 
     def section_of(self, at: int) -> int:
         """The last section that starts at or before; empty ones are passed over."""
@@ -117,7 +120,7 @@ def find_start(texts: list[str], book: str) -> int:
 
 def match_book(texts: list[str], book: Book, window: int = 200, threshold: float = 0.8) -> list[Match | None]:
     norm = [normalize(t)[0] for t in texts]
-    return [m and Match(*m) for m in cursor_match(norm, book.text, find_start(norm, book.text), window, threshold)]
+    return [m and Match(*m) for m in cursor_match(norm, book.text, find_start(norm, book.text), window, threshold, reading=book.reading)]
 
 
 def probe_windows(texts: list[str], book: Book, windows: tuple[int, ...] = (50, 200, 350)) -> tuple[int, dict[int, float]]:
@@ -127,129 +130,236 @@ def probe_windows(texts: list[str], book: Book, windows: tuple[int, ...] = (50,
     return (min(w for w, r in rates.items() if r >= top - 1e-9) if top > 0 else 200), rates
 
 
-def best_span(needle: str, hay: str) -> tuple[int, int, float]:
-    """The stretch of ``hay`` nearest to the needle by edits: (start, end, similarity); lengths within [n/2, 2n]; of equal cost not longer than the needle first, then least over."""
-    n, best = len(needle), None
-    row = [(k, 0) for k in range(n + 1)]
-    for j, ch in enumerate(hay):
-        new = [(0, j + 1)]
-        for i in range(n):
-            a, b, c = row[i], row[i + 1], new[i]
-            d = (a[0] + (needle[i] != ch), a[1])
-            new.append(min(d, (b[0] + 1, b[1]), (c[0] + 1, c[1]), key=lambda o: (o[0], -o[1])))
+def _rank(n: int, size: int) -> tuple[bool, int]:
+    """Of spans that are as good: not longer than the needle first, then nearest to its length."""
+    return size > n, abs(size - n)
+
+
+def span_ends(needle: str, hay: str) -> tuple[list[int], list[int]]:
+    """For each end in ``hay`` (0 to its length) the least edits of a span that ends there, and where it starts."""
+    n = len(needle)
+    row, cost, start = [(k, 0) for k in range(n + 1)], [n], [0]
+    for j, ch in enumerate(hay, 1):
+        new = [(0, j)]
+        for i in range(1, n + 1):
+            (a, x), (b, y), (c, z) = row[i - 1], row[i], new[i - 1]
+            new.append(min((a + (needle[i - 1] != ch), x), (b + 1, y), (c + 1, z), key=lambda o: (o[0], _rank(i, j - o[1]))))
         row = new
-        c, s = row[n]
-        size = j + 1 - s
-        if n / 2 <= size <= 2 * n:
-            rank = (c, size > n, abs(size - n), s)
-            if best is None or rank < best[0]:
-                best = (rank, s, j + 1)
-    if best is None:
-        return 0, 0, 0.0
-    return best[1], best[2], 1 - best[0][0] / max(n, best[2] - best[1])
+        cost.append(row[n][0]), start.append(row[n][1])
+    return cost, start
 
 
-def fill_gaps(texts: list[str], book: Book, matches: list[Match | None]) -> list[Match | None]:
-    """Unmatched runs between matches: cues longest first by nearest stretch between their placed neighbours; then those without room by what neighbours can give up; the rest in proportion to length.
+def _better(like: float, rank: tuple, best: tuple | None) -> bool:
+    return best is None or like > best[0] + NEAR or (like > best[0] - NEAR and rank < best[1])
 
-    A run that is too long for the limits, or places no more than it leaves, is
-    left as it was; matches that were there never move.
-    """
-    norm = [normalize(t)[0] for t in texts]
-    out, work, k = list(matches), 0, 0
-    while k < len(out):
-        if out[k] is not None:
-            k += 1
-            continue
-        end = k
-        while end < len(out) and matches[end] is None:
-            end += 1
-        if k > 0 and end < len(out):
-            lo, hi = matches[k - 1].end, matches[end].start
-            run = [i for i in range(k, end) if norm[i]]
-            work += (hi - lo) * len(run)
-            if 0 < hi - lo <= MAX_REGION and work <= MAX_WORK and run:
-                got: dict[int, Match] = {}
-                for i in sorted(run, key=lambda i: (-len(norm[i]), i)):
-                    a = max([lo, *(m.end for x, m in got.items() if x < i)])
-                    z = min([hi, *(m.start for x, m in got.items() if x > i)])
-                    s, e, like = best_span(norm[i], book.text[a:z])
-                    if like >= SIMILAR:
-                        got[i] = Match(a + s, a + e, like)
-                got = negotiate(run, norm, got, book.text, lo, hi)
-                got |= proportional(run, norm, got, lo, hi)
-                if len(got) > len(run) - len(got):
-                    for i, m in got.items():
-                        out[i] = m
-        k = max(end, k + 1)
-    return out
+
+def best_end(needle: str, hay: str, ends: tuple[list[int], list[int]], lo: int, hi: int) -> Match | None:
+    """The stretch of hay[lo:hi] most like the needle, with lengths from half to twice its own; ``ends`` are those of hay[lo:]. First the best end, then, for it, the best start."""
+    n = len(needle)
+    least, best = max(1, -(-n // 2)), None
+    for j in range(least, hi - lo + 1):
+        size = j - ends[1][j]
+        if least <= size <= 2 * n and _better(like := 1 - ends[0][j] / max(n, size), rank := _rank(n, size), best):
+            best = (like, rank, lo + j)
+    if best is None:
+        return None
+    end, best = best[2], None
+    for size, edits in enumerate(suffix_costs(needle, hay[max(lo, end - 2 * n) : end])):
+        if size >= least and _better(like := 1 - edits / max(n, size), rank := _rank(n, size), best):
+            best = (like, rank, end - size)
+    return Match(best[2], end, best[0])
+
+
+def suffix_costs(needle: str, text: str) -> list[int]:
+    """Edits from the needle to each suffix of the text, by the suffix's length."""
+    row = list(range(len(text) + 1))
+    for i, x in enumerate(reversed(needle), 1):
+        new = [i]
+        for j, y in enumerate(reversed(text), 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row
+
+
+def best_span(needle: str, hay: str) -> tuple[int, int, float]:
+    """The stretch of ``hay`` most like the needle: (start, end, similarity); nothing is (0, 0, 0)."""
+    m = best_end(needle, hay, span_ends(needle, hay), 0, len(hay)) if needle and hay else None
+    return (m.start, m.end, m.score) if m else (0, 0, 0.0)
 
 
 def edit_cost(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a):
-        new = [i + 1]
-        for j, y in enumerate(b):
-            new.append(min(row[j] + (x != y), row[j + 1] + 1, new[j] + 1))
-        row = new
-    return row[-1]
+    return suffix_costs(a, b)[-1]
+
+
+def likeness(a: str, b: str) -> float:
+    return 1 - edit_cost(a, b) / max(len(a), len(b), 1)
 
 
 def tied_shrinks(needle: str, text: str, at_end: bool) -> list[int]:
-    """How many characters a span can give up at one side without costing an edit more, the most first."""
-    cost = edit_cost(needle, text)
-    most = max(0, len(text) - max(1, len(needle) // 2))
-    return [k for k in range(most, 0, -1) if edit_cost(needle, text[: len(text) - k] if at_end else text[k:]) <= cost]
+    """How many characters a span can give up at one side without costing an edit more, none first; half the needle's length stays."""
+    cost, most = edit_cost(needle, text), len(text) - max(1, -(-len(needle) // 2))
+    return [0, *(k for k in range(1, most + 1) if edit_cost(needle, text[: len(text) - k] if at_end else text[k:]) <= cost)]
 
 
-def negotiate(run: list[int], norm: list[str], got: dict[int, Match], text: str, lo: int, hi: int) -> dict[int, Match]:
-    """Place cues that found no room in what their placed neighbours of the run give up at no cost."""
-    got = dict(got)
-    for n, i in enumerate(run):
-        if i in got:
-            continue
-        left = next((x for x in reversed(run[:n]) if x in got), None)
-        right = next((x for x in run[n + 1 :] if x in got), None)
-        a, z = got[left].end if left is not None else lo, got[right].start if right is not None else hi
-        give_a = tied_shrinks(norm[left], text[got[left].start : a], True)[:1] if left is not None else []
-        give_z = tied_shrinks(norm[right], text[z : got[right].end], False)[:1] if right is not None else []
-        wide_a, wide_z = a - sum(give_a), z + sum(give_z)
-        s, e, like = best_span(norm[i], text[wide_a:wide_z])
-        if like < SIMILAR:
-            continue
-        got[i] = Match(wide_a + s, wide_a + e, like)
-        if left is not None and got[i].start < a:
-            got[left] = replace(got[left], end=got[i].start)
-        if right is not None and got[i].end > z:
-            got[right] = replace(got[right], start=got[i].end)
-    return got
-
-
-def proportional(run: list[int], norm: list[str], got: dict[int, Match], lo: int, hi: int) -> dict[int, Match]:
-    """What is left of a run shares the text between its placed neighbours by length, where that is about as long as it."""
-    out, at = {}, 0
-    while at < len(run):
-        if run[at] in got:
-            at += 1
-            continue
-        z = at
-        while z < len(run) and run[z] not in got:
-            z += 1
-        a = got[run[at - 1]].end if at else lo
-        b = got[run[z]].start if z < len(run) else hi
-        total = sum(len(norm[i]) for i in run[at:z])
-        if RATIOS[0] * total <= b - a <= RATIOS[1] * total:
-            done = 0
-            for i in run[at:z]:
-                s = a + (b - a) * done // total
-                done += len(norm[i])
-                e = a + (b - a) * done // total
-                if e > s:
-                    out[i] = Match(s, e, 0.0)
-        at = z
+class GapFiller:
+    """Cues without a place between cues with one, placed in the book's text between these.
+
+    Of the cues matched before, *fixed* ones (exact and longer than two letters)
+    never move, *soft* ones (inexact) may be cut anew between what the first pass
+    found around them, and *slight* ones (two letters at most) may move or go.
+    """
+
+    def __init__(self, texts: list[str], book: Book, matches: list[Match | None]):
+        self.norm, self.text = [normalize(t)[0] for t in texts], book.text
+        self.first, self.out, self.work = list(matches), list(matches), 0
+        n = len(matches)
+        self.after, self.until = [0] * n, [len(book.text)] * n  # what the first pass found around each cue
+        for k in range(1, n):
+            self.after[k] = matches[k - 1].end if matches[k - 1] else self.after[k - 1]
+            self.until[-k - 1] = matches[-k].start if matches[-k] else self.until[-k]
+
+    def kind(self, k: int) -> str | None:
+        m = self.first[k]
+        return None if m is None else "slight" if len(self.norm[k]) <= SLIGHT else "fixed" if m.score >= 1 else "soft"
+
+    def placed(self, k: int, step: int) -> int | None:
+        """The nearest placed cue before or behind."""
+        k += step
+        while 0 <= k < len(self.out):
+            if self.out[k]:
+                return k
+            k += step
+        return None
+
+    def fill(self) -> list[Match | None]:
+        k, n = 0, len(self.out)
+        while k < n:
+            if self.out[k]:
+                k += 1
+                continue
+            end = k
+            while end < n and not self.out[end]:
+                end += 1
+            if k > 0 and end < n and self.cut_anew(k - 1, end):
+                at = k
+                while at < end:  # what is still open shares the text between its neighbours
+                    z = at
+                    while z < end and not self.out[z]:
+                        z += 1
+                    a, b = self.placed(at, -1), self.placed(z - 1, 1)
+                    if z > at and a is not None and b is not None:
+                        for i, m in proportional(range(a + 1, b), self.norm, self.text, self.out[a].end, self.out[b].start).items():
+                            self.out[i] = m
+                    at = max(z, at + 1)
+            k = end
+        return self.out
+
+    def cut_anew(self, left: int, right: int) -> bool:
+        """Lay the cues left..right over the text between their neighbours, long ones first, and keep that if it gains; False if the limits leave the run out."""
+        out, norm = self.out, self.norm
+        while left > 0 and out[left - 1] and len(norm[left]) <= SLIGHT:
+            left -= 1
+        while right + 1 < len(out) and out[right + 1] and len(norm[right]) <= SLIGHT:
+            right += 1
+        first, last = out[left].start, out[right].end
+        a, b = self.placed(left, -1), self.placed(right, 1)
+        lo, hi = first if a is None else min(first, out[a].end), last if b is None else max(last, out[b].start)
+        cost = (hi - lo) * (right - left + 1)
+        if hi <= lo:
+            return True
+        if hi - lo > MAX_REGION or self.work + cost > MAX_WORK:
+            return False  # a run that is left out costs nothing
+        self.work += cost
+        run = range(left, right + 1)
+        got = {k: out[k] for k in run if self.kind(k) == "fixed"}
+        for k in sorted(run, key=lambda k: (-len(norm[k]), k)):
+            if k in got:
+                continue
+            needed = k in (left, right) or self.kind(k) == "soft"
+            m = self.find(k, got, lo, hi) if norm[k] else None
+            if m and m.score >= (ANCHOR if needed else SIMILAR):
+                got[k] = m
+            elif needed and (norm[k] or k in (left, right)):
+                return True
+        for k in run:
+            if k not in got and norm[k]:
+                self.negotiate(k, got)
+        for k in run:
+            if k not in got:
+                a = max(x for x in got if x < k)
+                b = min(x for x in got if x > k)
+                if a == k - 1:
+                    got |= proportional(range(k, b), norm, self.text, got[a].end, got[b].start)
+        if all(self.kind(k) != "soft" or (k in got and got[k].score >= ANCHOR - NEAR and self.after[k] <= got[k].start and got[k].end <= self.until[k]) for k in run):
+            gained, lost = sum(not out[k] for k in got), sum(bool(out[k]) for k in run if k not in got)
+            inside = got[left].start >= first and got[right].end <= last
+            if gained > lost or (lost == 0 and inside):
+                for k in run:
+                    out[k] = got.get(k)
+        return True
+
+    def find(self, k: int, got: dict[int, Match], lo: int, hi: int) -> Match | None:
+        lo = next((got[x].end for x in sorted(got, reverse=True) if x < k), lo)
+        hi = next((got[x].start for x in sorted(got) if x > k), hi)
+        if self.kind(k) == "soft":
+            lo, hi = max(lo, self.after[k]), min(hi, self.until[k])
+        s, e, like = best_span(self.norm[k], self.text[lo:hi]) if hi > lo else (0, 0, 0.0)
+        return Match(lo + s, lo + e, like) if e > s else None
+
+    def negotiate(self, k: int, got: dict[int, Match]) -> None:
+        """Place a cue that found no room in what its placed neighbours can give up at no cost: the likest, then the one that takes least."""
+        left, right = max(x for x in got if x < k), min(x for x in got if x > k)
+        a, b, needle = got[left], got[right], self.norm[k]
+        give_a = [0] if self.kind(left) == "fixed" else tied_shrinks(self.norm[left], self.text[a.start : a.end], True)
+        give_b = [0] if self.kind(right) == "fixed" else tied_shrinks(self.norm[right], self.text[b.start : b.end], False)
+        best = None
+        for x in give_a:
+            lo, most = a.end - x, b.start + give_b[-1]
+            if most <= lo:
+                continue
+            ends = span_ends(needle, self.text[lo:most])
+            for y in give_b:
+                hi = b.start + y
+                if not x + y or hi <= lo:
+                    continue
+                m = best_end(needle, self.text, ends, lo, hi)
+                if m is None or m.score < SIMILAR:
+                    if not plausible(len(needle), hi - lo):
+                        continue
+                    m = Match(lo, hi, likeness(needle, self.text[lo:hi]))
+                if best is None or m.score > best[0].score + NEAR or (m.score > best[0].score - NEAR and x + y < best[1] + best[2]):
+                    best = (m, x, y)
+        if best:
+            m, x, y = best
+            got[k] = m
+            got[left] = Match(a.start, a.end - x, likeness(self.norm[left], self.text[a.start : a.end - x]))
+            got[right] = Match(b.start + y, b.end, likeness(self.norm[right], self.text[b.start + y : b.end]))
+
+
+def plausible(letters: int, room: int) -> bool:
+    return letters > 0 and RATIOS[0] - NEAR <= room / letters <= RATIOS[1] + NEAR
+
+
+def proportional(run: range, norm: list[str], text: str, lo: int, hi: int) -> dict[int, Match]:
+    """Cues of a run share text[lo:hi] by their lengths, where that is about as long as they are; the last takes what is left."""
+    total, room, out = sum(len(norm[k]) for k in run), hi - lo, {}
+    if room <= 0 or not plausible(total, room):
+        return out
+    at = used = 0
+    for k in run:
+        used += len(norm[k])
+        end = room if k == run[-1] else (2 * room * used + total) // (2 * total)
+        if norm[k] and end > at:
+            out[k] = Match(lo + at, lo + end, likeness(norm[k], text[lo + at : lo + end]))
+            at = end
     return out
 
 
+def fill_gaps(texts: list[str], book: Book, matches: list[Match | None]) -> list[Match | None]:
+    """Matches with the gaps between them filled; runs at either end of the cues stay open, as do runs beyond the limits."""
+    return GapFiller(texts, book, matches).fill() if book.text else list(matches)
+
+
 @dataclass(frozen=True)
 class BookCue:
     start: int
@@ -355,12 +465,14 @@ def resegment(cues: list[BookCue], book: Book) -> list[BookCue]:
 
 
 def align_books(cues: DataFrame, sections: DataFrame, window: int | None = None) -> DataFrame:
-    """cues(book_id, idx, text) and sections(book_id, idx, text) into (book_id, idx, section, norm_start, norm_end, score, book_text); unmatched cues have nulls."""
+    """cues(book_id, idx, text) and sections(book_id, idx, text, and rubies where known) into (book_id, idx, section, norm_start, norm_end, score, book_text); unmatched cues have nulls."""
 
     def run(key, c: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
         cols = ["book_id", "idx", "section", "norm_start", "norm_end", "score", "book_text"]
         c = c.sort_values("idx")
-        book = Book([t or "" for t in s.sort_values("idx")["text"]])
+        s = s.sort_values("idx")
+        rubies = [[(r["start"], r["end"], r["reading"]) for r in (x if x is not None else ())] for x in s["rubies"]] if "rubies" in s else None
+        book = Book([t or "" for t in s["text"]], rubies)
         texts = [t or "" for t in c["text"]]
         size = window or probe_windows(texts, book)[0]
         got = fill_gaps(texts, book, match_book(texts, book, size))

@@ -1,19 +1,22 @@
 """Cues from recognised tokens, and long cues into pieces.
 
 A segment is a dict: start, end, tokens, times (ms on the file's clock), and
-raw_start, raw_end, ends where known. Each cue looks at the end of the one built
-before it, so files are the unit of work.
+raw_start, raw_end (speech without padding), ends (of tokens), file (its number),
+continuous (a window of a grid, not of speech) where known. Each cue looks at the
+end of the one built before it, so files are the unit of work.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from weftline.functions.text import ABBREVIATIONS, CLOSING, TERMINATORS
+from weftline.functions.text import ABBREVIATIONS, CLOSING, PUNCT_ONLY, TERMINATORS
 
 from .decode import materialize
 
@@ -21,8 +24,9 @@ from .decode import materialize
 LEAD, GAP, LEAST, LONGEST, TAIL = 150, 1200, 300, 15_000, 80
 RESPLIT_GAP, RESPLIT_LEAD, RESPLIT_TAIL = 680, 120, 400
 TOKEN = 40  # a token lasts this long at least
-# Long cues: duration, characters, least piece, least pause, lead, edge, gap.
-SPLIT_MS, SPLIT_CHARS, LEAST_PIECE, LEAST_PAUSE, SPLIT_LEAD, EDGE, SPLIT_GAP = 7000, 40, 4, 350, 100, 300, 300
+# Long cues: duration, characters, least piece, least pause, lead, edge.
+SPLIT_MS, SPLIT_CHARS, LEAST_PIECE, LEAST_PAUSE, SPLIT_LEAD, EDGE = 7000, 40, 4, 350, 100, 300
+_MARKS = re.compile(PUNCT_ONLY)
 
 
 def ends_sentence(text: str) -> bool:
@@ -37,7 +41,12 @@ def ends_sentence(text: str) -> bool:
 
 
 def only_marks(text: str) -> bool:
-    return not any(c.isalnum() for c in text)
+    return _MARKS.match(text) is not None
+
+
+def spoken_chars(text: str) -> int:
+    """Characters that are no space, punctuation or symbol."""
+    return sum(not c.isspace() and unicodedata.category(c)[0] not in "PS" for c in text)
 
 
 def sentences(tokens: list[str], times: list[int], gap: int = GAP) -> list[tuple[int, int]]:
@@ -63,69 +72,94 @@ def shorter(span: tuple[int, int], times: list[int], longest: int = LONGEST) ->
     return shorter((a, at), times, longest) + shorter((at, z), times, longest)
 
 
-def segment_cues(seg: dict, floor: int) -> list[dict]:
-    """Cues of one segment; ``floor`` is the end of the cue before."""
-    tokens, times = seg["tokens"], seg["times"]
+def _cue(start: int, end: int, text: str, seg: dict, at: slice, offset: int) -> dict:
+    """A cue with the places of its tokens from its start, none before it."""
+    ends = seg.get("ends")
+    return {
+        "start": start + offset, "end": end + offset, "text": text, "file": seg.get("file", 0), "tokens": seg["tokens"][at], "offsets": [max(0, t - start) for t in seg["times"][at]],
+        "end_offsets": None if ends is None else [max(0, t - start) for t in ends[at]],
+    }
+
+
+def segment_cues(seg: dict, offset: int = 0) -> list[dict]:
+    """Cues of one segment, none before the end of the one before it; ``offset`` is where its file begins."""
+    tokens, times, low, high = seg["tokens"], seg["times"], seg["start"], seg["end"]
     spans = [s for x in sentences(tokens, times) for s in shorter(x, times)]
-    out = []
+    out: list[dict] = []
+    before = low
     for k, (a, z) in enumerate(spans):
         text = materialize(tokens[a:z]).strip()
-        start = seg["raw_start"] if k == 0 and seg.get("raw_start") is not None else times[a] - LEAD
-        start = max(start, floor, seg["start"])
-        if k + 1 < len(spans):
-            end = times[spans[k + 1][0]] - LEAD
-        else:
-            raw = seg["raw_end"] if seg.get("raw_end") is not None else seg["end"]
-            end = max(raw + TAIL, times[z - 1] + (500 if len(text) <= 3 else 800)) if raw < times[z - 1] else raw + TAIL
-        end = min(max(end, times[z - 1] + TOKEN, start + LEAST), seg["end"])
-        if end <= start:
-            end = start + TOKEN
         if only_marks(text):
             continue
-        out.append({"start": start, "end": end, "text": text, "tokens": tokens[a:z], "offsets": [max(0, t - start) for t in times[a:z]]})
-        floor = end
+        opening = low if seg.get("raw_start") is None else seg["raw_start"]
+        start = max(before, opening if k == 0 else times[a] - LEAD)
+        if k + 1 < len(spans):
+            end = times[spans[k + 1][0]] - LEAD
+        elif seg.get("raw_end") is None:
+            end = high
+        else:  # drawn in to where speech ends, but not so far that a short cue flashes by
+            end = min(high, max(seg["raw_end"] + TAIL, start + (500 if spoken_chars(text) <= 3 else 800)))
+        end = min(high, max(end, times[z - 1] + TOKEN, start + LEAST))
+        end = end if end > start else start + TOKEN
+        out.append(_cue(start, end, text, seg, slice(a, z), offset))
+        before = end
     return out
 
 
-def build(segments: list[dict]) -> list[dict]:
-    """All cues of a file, in order; one that reaches into the next ends where that starts."""
-    out: list[dict] = []
-    for seg in sorted(segments, key=lambda s: s["start"]):
-        if seg["tokens"]:
-            out += segment_cues(seg, out[-1]["end"] if out else 0)
-    out.sort(key=lambda c: c["start"])
+def _offset(offsets: list[int], file: int) -> int:
+    return offsets[file] if file < len(offsets) else 0
+
+
+def build(segments: list[dict], offsets: list[int] | None = None) -> list[dict]:
+    """All cues of the files, in order, on one clock (``offsets``: where each file begins); one that reaches into the next ends where that starts."""
+    rows = sorted(resplit(segments), key=lambda s: (s.get("file", 0), s["start"]))
+    out = [c for s in rows if s["tokens"] for c in segment_cues(s, _offset(offsets or [], s.get("file", 0)))]
     for a, b in zip(out, out[1:]):
-        a["end"] = min(a["end"], b["start"])
+        if a["start"] < b["start"] < a["end"]:
+            a["end"] = b["start"]
     return out
 
 
-def one_per_segment(segments: list[dict]) -> list[dict]:
-    rows = sorted(segments, key=lambda s: (s.get("raw_start") or s["start"], s.get("raw_end") or s["end"]))
-    cues = [{"start": s.get("raw_start") or s["start"], "end": s.get("raw_end") or s["end"], "text": materialize(s["tokens"]).strip(), "tokens": s["tokens"], "offsets": [max(0, t - s["start"]) for t in s["times"]]} for s in rows]
-    return [c for c in cues if c["text"] and not only_marks(c["text"])]
+def one_per_segment(segments: list[dict], offsets: list[int] | None = None) -> list[dict]:
+    """One cue for each segment that has text, at the segment's own times, which may overlap."""
+    known = lambda s, raw, own: s[own] if s.get(raw) is None else s[raw]
+    out = []
+    for s in sorted(segments, key=lambda s: (s.get("file", 0), known(s, "raw_start", "start"), known(s, "raw_end", "end"))):
+        text = materialize(s["tokens"]).strip()
+        if text and not only_marks(text):
+            out.append(_cue(known(s, "raw_start", "start"), known(s, "raw_end", "end"), text, s, slice(None), _offset(offsets or [], s.get("file", 0))))
+    return out
 
 
 def resplit(segments: list[dict]) -> list[dict]:
-    """Touching windows are one run of tokens, cut anew where tokens lie more than 680 ms apart."""
-    out: list[dict] = []
+    """Windows marked continuous that touch are one run of tokens, cut anew where tokens lie more than 680 ms apart; other segments stay as they are."""
+    if not any(s.get("continuous") for s in segments):
+        return segments
     runs: list[list[dict]] = []
-    for s in sorted(segments, key=lambda s: s["start"]):
-        if runs and s.get("continuous") and s["start"] <= runs[-1][-1]["end"]:
+    for s in sorted(segments, key=lambda s: (s.get("file", 0), s["start"])):
+        last = runs[-1][-1] if runs else None
+        if last and s.get("continuous") and last.get("continuous") and last.get("file", 0) == s.get("file", 0) and last["end"] == s["start"]:
             runs[-1].append(s)
         else:
             runs.append([s])
+    out: list[dict] = []
     for run in runs:
-        lo, hi = run[0]["start"], max(s["end"] for s in run)
-        pairs = [(t, x) for s in run for x, t in zip(s["tokens"], s["times"], strict=True)]
-        part: list[tuple[int, str]] = []
-        floor = lo
-        for k, p in enumerate(pairs):
-            part.append(p)
-            if k + 1 == len(pairs) or pairs[k + 1][0] - p[0] > RESPLIT_GAP:
-                start = max(floor, part[0][0] - RESPLIT_LEAD)
-                end = min(hi, part[-1][0] + RESPLIT_TAIL, pairs[k + 1][0] if k + 1 < len(pairs) else hi)
-                out.append({"start": start, "end": max(end, start + TOKEN), "tokens": [x for _, x in part], "times": [t for t, _ in part]})
-                floor, part = out[-1]["end"], []
+        if not run[0].get("continuous"):
+            out += run
+            continue
+        file, low, high = run[0].get("file", 0), run[0]["start"], run[-1]["end"]
+        tokens, times = [x for s in run for x in s["tokens"]], [t for s in run for t in s["times"]]
+        ends = [t for s in run for t in s["ends"]] if all(s.get("ends") is not None for s in run) else None
+        edges = [0, *(k for k in range(1, len(times)) if times[k] - times[k - 1] > RESPLIT_GAP), len(times)]
+        for a, z in zip(edges, edges[1:]):
+            if a == z:
+                continue
+            start = max(low, times[a] - RESPLIT_LEAD)
+            if out and out[-1].get("file", 0) == file:
+                start = max(start, out[-1]["end"])
+            end = min(high, times[z - 1] + RESPLIT_TAIL, high if z == len(times) else times[z] - RESPLIT_LEAD)
+            end = end if end > start else start + TOKEN
+            out.append({"file": file, "start": start, "end": end, "raw_start": start, "raw_end": end, "tokens": tokens[a:z], "times": times[a:z], "ends": None if ends is None else ends[a:z]})
     return out
 
 
@@ -172,10 +206,18 @@ def split_long(start: int, end: int, text: str, tokens: list[str] | None = None,
 
 
 def build_files(segments: DataFrame, how: Callable[[list[dict]], list[dict]] = build) -> DataFrame:
-    """segments(file_id, start_ms, end_ms, tokens, times) into (file_id, idx, start_ms, end_ms, text, offsets)."""
+    """segments(file_id, start_ms, end_ms, tokens, times, and raw_start_ms, raw_end_ms, ends, continuous where known) into (file_id, idx, start_ms, end_ms, text, offsets)."""
+    known = {"raw_start_ms": "raw_start", "raw_end_ms": "raw_end", "ends": "ends", "continuous": "continuous"}
+    more = [c for c in known if c in segments.columns]
+
+    def whole(x):
+        return None if x is None or (np.isscalar(x) and pd.isna(x)) else [int(y) for y in x] if not np.isscalar(x) else int(x)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [{"start": int(s), "end": int(e), "tokens": list(t), "times": [int(x) for x in m]} for s, e, t, m in zip(pdf["start_ms"], pdf["end_ms"], pdf["tokens"], pdf["times"], strict=True)]
+        for c in more:
+            for row, x in zip(rows, pdf[c], strict=True):
+                row[known[c]] = whole(x)
         key = pdf["file_id"].iloc[0]
         return pd.DataFrame([(key, k, c["start"], c["end"], c["text"], c["offsets"]) for k, c in enumerate(how(rows))], columns=["file_id", "idx", "start_ms", "end_ms", "text", "offsets"])
 

@@ -36,7 +36,7 @@ def exact_passages(items: DataFrame, texts: DataFrame) -> DataFrame:
     Candidates come from an equi-join on the item's rarest inner word 4-gram
     (words at the item's edges may be cut in the text), then the strings decide.
     Items of fewer than six words are too short to seed; they are a query set put
-    to all texts in blocks of ``SHORT``, each block a broadcast.
+    to all texts in blocks of about ``SHORT`` dealt by hash, each block a broadcast.
     """
     grams = _grams(texts, "doc_id").select("doc_id", "gram")
     inner = _grams(items, "item_id").withColumn("last", F.max("at").over(Window.partitionBy("item_id"))).where("at > 0 and at < last")
@@ -46,9 +46,9 @@ def exact_passages(items: DataFrame, texts: DataFrame) -> DataFrame:
     long = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts.select("doc_id", "text"), "doc_id")
     short = items.select("item_id", F.col("text").alias("item"), F.size(_words("text")).alias("n")).where("n < 6").drop("n")
     both = long.select("item_id", "doc_id", "text", "item")
-    short = short.withColumn("block", F.floor((F.row_number().over(Window.orderBy("item_id")) - 1) / SHORT))
-    for row in short.select("block").distinct().collect():
-        block = F.broadcast(short.where(F.col("block") == row["block"]))
+    blocks = -(-short.count() // SHORT)
+    for k in range(blocks):
+        block = F.broadcast(short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k))
         both = both.unionByName(texts.select("doc_id", "text").join(block, F.expr("contains(text, item)")).select("item_id", "doc_id", "text", "item"))
     return both.select("item_id", "doc_id", (F.expr("instr(text, item)") - 1).cast("long").alias("at")).where("at >= 0")
 

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 # Window, threshold, silence that closes, least speech, padding, longest segment, look-back of a forced cut (ms).
 WINDOW_MS, THRESHOLD, MIN_SILENCE, MIN_SPEECH, PAD, LONGEST, LOOKBACK = 32, 0.5, 500, 250, 500, 20_000, 5_000
@@ -101,9 +103,9 @@ def segment_files(windows: DataFrame) -> DataFrame:
     return windows.groupBy("file_id").applyInPandas(run, "file_id long, start_ms long, end_ms long, raw_start_ms long, raw_end_ms long")
 
 
-def choose_segmenter(fixed: bool, material: str, architecture: str) -> str:
+def segmenter_for(fixed: Column, material: Column, architecture: Column) -> Column:
     """Which segmenter suits: given spans, else energy for clean speech, else windows for one architecture and a model for others."""
-    return "fixed" if fixed else "energy" if material == "clean" else "windows" if architecture == "nemoCtc" else "model"
+    return F.when(fixed, "fixed").when(material == "clean", "energy").when(architecture == "nemoCtc", "windows").otherwise("model")
 
 
 def quiet_cuts(db: np.ndarray, frame_ms: int, target_ms: int = 600_000, around_ms: int = 60_000, smooth_ms: int = 400) -> list[int]:
@@ -123,6 +125,21 @@ def quiet_cuts(db: np.ndarray, frame_ms: int, target_ms: int = 600_000, around_m
     return cuts
 
 
+def chunk_plan(db: np.ndarray, frame_ms: int, full: Callable[[int, int], bool], target_ms: int = 600_000, around_ms: int = 60_000, least_ms: int = 40_000) -> list[tuple[int, int, int]]:
+    """(ordinal, start_ms, end_ms) of chunks in the order they are done. A chunk that proves ``full`` and is ``least_ms`` long or longer is halved at its quietest place within a quarter of its length around the middle; each try takes the next ordinal."""
+    edges = [0, *quiet_cuts(db, frame_ms, target_ms, around_ms), len(db) * frame_ms]
+    work, out, tries = list(zip(edges, edges[1:]))[::-1], [], 0
+    while work:
+        a, z = work.pop()
+        tries += 1
+        cut = quiet_cuts(db[a // frame_ms : z // frame_ms], frame_ms, (z - a) // 2, (z - a) // 4)[:1] if z - a >= least_ms and full(a, z) else []
+        if cut:
+            work += [(a + cut[0], z), (a, a + cut[0])]
+        else:
+            out.append((tries, a, z))
+    return out
+
+
 def balanced_groups(weights: list[float], groups: int) -> list[tuple[int, int]]:
     """Contiguous [start, end) ranges of about equal weight, at most ``groups``, none empty."""
     total, out, start, acc = sum(weights), [], 0, 0.0

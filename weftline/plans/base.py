@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the session's ``spark.checkpoint.dir``; where that is unset, a local master gets a temporary one and any other raises."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "file://" + tempfile.mkdtemp(prefix="weftline-")
+    return f"{base.rstrip('/')}/weftline-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as cues: file_id, idx, start_ms, end_ms, kind, value, label (a short text)."""
     start = F.expr("unix_micros(cast(ts as timestamp)) div 1000")

@@ -45,23 +45,14 @@ def device_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "token_rebase",
-    """CUES WITH m AS (SELECT file_id, idx // 10 AS grp, idx, start_ms, end_ms, [kind, 'x'] AS tokens, [0, 100] AS offsets FROM cues WHERE idx % 10 < 3),
+    """CUES WITH m AS (SELECT file_id, idx // 10 AS grp, idx, start_ms, end_ms, [kind, 'x'] AS tokens, [0, 100] AS offsets FROM cues),
     g AS (SELECT file_id, grp, min(start_ms) AS start_ms, max(end_ms) AS end_ms FROM m GROUP BY ALL),
     t AS (SELECT m.file_id, m.grp, m.idx, unnest(tokens) AS tok, unnest(offsets) + m.start_ms - g.start_ms AS off, generate_subscripts(tokens, 1) AS k FROM m JOIN g USING (file_id, grp))
     SELECT file_id, grp, any_value(g.start_ms) AS start_ms, any_value(g.end_ms) AS end_ms, string_agg(tok, ' ' ORDER BY idx, k) AS tokens, string_agg(off, ' ' ORDER BY idx, k) AS offsets FROM t JOIN g USING (file_id, grp) GROUP BY ALL""",
 )
 def token_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rebased(cues(spark, sf_dir).where("idx % 10 < 3"))
-
-
-@query("token_rebase_whole")
-def token_rebase_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cue in its group; token_rebase, as its SQL has it, takes three of ten."""
-    return _rebased(cues(spark, sf_dir))
-
-
-def _rebased(c: DataFrame) -> DataFrame:
-    m = c.select("file_id", F.expr("idx div 10").alias("grp"), "idx", "start_ms", "end_ms", F.array("kind", F.lit("x")).alias("tokens"), F.array(F.lit(0).cast("long"), F.lit(100).cast("long")).alias("offsets"))
+    """Every cue in its group of ten."""
+    m = cues(spark, sf_dir).select("file_id", F.expr("idx div 10").alias("grp"), "idx", "start_ms", "end_ms", F.array("kind", F.lit("x")).alias("tokens"), F.array(F.lit(0).cast("long"), F.lit(100).cast("long")).alias("offsets"))
     return TK.rebase(m, ["file_id", "grp"]).select("file_id", "grp", "start_ms", "end_ms", F.array_join("tokens", " ").alias("tokens"), F.array_join(F.col("offsets").cast("array<string>"), " ").alias("offsets"))
 
 
@@ -100,18 +91,15 @@ def token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FM.token_table(table(spark, sf_dir, "part").select(F.concat(token, F.when(k % 2 == 0, "\t").otherwise(" "), k.cast("string")).alias("value")))
 
 
-@query("file_charsets", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'UTF-16LE' WHEN 1 THEN 'UTF-16BE' ELSE 'ISO-8859-1' END AS charset, true AS same FROM documents WHERE length(text) >= 40 AND lang = 'en'")
+@query("file_charsets", """
+    WITH d AS (SELECT doc_id, doc_id % 3 AS k, coalesce(text, '') AS t FROM documents),
+    u AS (SELECT *, flatten(list_transform(string_split(left(t, 32), ''), lambda c: CASE WHEN unicode(c) > 65535 THEN [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] WHEN c = '' THEN [] ELSE [unicode(c)] END))[:32] AS units FROM d),
+    n AS (SELECT *, len(units) AS n, len(list_filter(units, lambda x: x < 256 AND x > 0)) AS narrow, len(list_filter(units, lambda x: x >= 256 AND x % 256 = 0)) AS wide FROM u),
+    c AS (SELECT *, CASE WHEN k = 2 THEN 'ISO-8859-1' WHEN CASE k WHEN 0 THEN narrow ELSE wide END > 0 AND CASE k WHEN 0 THEN narrow ELSE wide END * 2 >= n THEN 'UTF-16LE'
+        WHEN CASE k WHEN 1 THEN narrow ELSE wide END > 0 AND CASE k WHEN 1 THEN narrow ELSE wide END * 2 >= n THEN 'UTF-16BE' ELSE 'ISO-8859-1' END AS charset FROM n)
+    SELECT doc_id, charset, k = 2 OR t = '' OR charset = CASE k WHEN 0 THEN 'UTF-16LE' ELSE 'UTF-16BE' END AS same FROM c""")
 def file_charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id") % 3
-    text = F.regexp_replace(F.substring("text", 1, 200), r"[^\x00-\x7F]", "?")
-    raw = F.when(k == 0, F.encode(text, "UTF-16LE")).when(k == 1, F.encode(text, "UTF-16BE")).otherwise(F.encode(text, "ISO-8859-1"))
-    d = table(spark, sf_dir, "documents").where("length(text) >= 40 and lang = 'en'").select("doc_id", text.alias("text"), raw.alias("raw"))
-    return d.select("doc_id", FM.sniff_charset(F.col("raw")).alias("charset"), (FM.decode_file(F.col("raw")) == F.col("text")).alias("same"))
-
-
-@query("file_charsets_whole")
-def file_charsets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts of all rows; only Latin-1 files have ``?`` for what that cannot say. file_charsets, as its SQL has it, takes beginnings of English texts."""
+    """Whole texts of all rows as files in three encodings; Latin-1 files have ``?`` for what that cannot say."""
     k, text = F.col("doc_id") % 3, F.coalesce("text", F.lit(""))
     latin = F.regexp_replace(text, r"[^\x00-\xFF]", "?")
     raw = F.when(k == 0, F.encode(text, "UTF-16LE")).when(k == 1, F.encode(text, "UTF-16BE")).otherwise(F.encode(latin, "ISO-8859-1"))

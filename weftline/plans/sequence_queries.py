@@ -1,10 +1,10 @@
-"""Queries over per-timeline sequential operators; SQL cannot say these, so tests hold them to plain versions and invariants."""
+"""Queries over per-timeline sequential operators, in SQL too where a recursion can say them; tests hold the others to plain versions and invariants."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import signal as S
@@ -13,7 +13,7 @@ from weftline.operators import book, clock, cuebuild, decode, post, reference, r
 from weftline.sources import formats as FM
 from weftline.sources import media
 
-from .base import cues, query, table
+from .base import cues, query, shared_folder, table
 
 
 def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,34 +33,135 @@ def _levels(c: DataFrame) -> DataFrame:
     return c.select("file_id", "k", "value", frame).select("file_id", (F.col("k") * 100 + F.col("f")).alias("frame"), db.cast("int").alias("db"))
 
 
-@query("post_process")
+# The sequential operators in SQL: what does not hang on the cue before is joins and windows, the rest a recursion over places of a timeline.
+_NEAR = """CUES WITH n AS (SELECT file_id, idx, k, k * 2000 AS s, k * 2000 + 600 + (idx * 37) % 1500 AS e, label AS text, value FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY start_ms, idx) AS k FROM cues))"""
+_LEVELS = """lv AS (
+        SELECT file_id, k * 100 + f AS frame, -70 + (CAST(trunc(value * 7) AS BIGINT) + f // 20 * 13) % 60 AS db FROM n, range(100) t(f)
+        UNION ALL SELECT DISTINCT file_id, f, 0 FROM n, range(100) t(f))"""
+#: Cues moved into valleys and drawn back to voice: sn (file_id, idx, k, s, e, text).
+_SNAPPED = f"""{_LEVELS.replace('lv AS', 'lv AS', 1)},
+    size AS (SELECT file_id, max(frame) + 1 AS frames FROM lv GROUP BY file_id),
+    block AS (
+        SELECT b.file_id, b.pos, list_sort(list(l.db) FILTER (l.db <> 0)) AS near
+        FROM (SELECT DISTINCT file_id, frame // 250 * 250 AS pos FROM lv) b JOIN lv l ON l.file_id = b.file_id AND l.frame >= b.pos - 750 AND l.frame < b.pos + 1000 GROUP BY ALL),
+    lim AS (SELECT file_id, pos, CASE WHEN coalesce(len(near), 0) = 0 THEN -30.0 ELSE least(-30.0, greatest(-50.0, near[1 + CAST(floor((len(near) - 1) / 10 + 0.5) AS BIGINT)] + 16.0)) END AS lim FROM block),
+    fl AS (SELECT lv.file_id, frame, db <> 0 AND db < lim AS quiet FROM lv JOIN lim ON lim.file_id = lv.file_id AND lim.pos = frame // 250 * 250),
+    isl AS (SELECT *, frame - row_number() OVER (PARTITION BY file_id, quiet ORDER BY frame) AS g FROM fl),
+    run AS (SELECT file_id, quiet, min(frame) AS a, max(frame) + 1 AS z FROM isl GROUP BY file_id, quiet, g),
+    pair AS (SELECT file_id, k, s, e, lead(s) OVER w AS bs, lead(e) OVER w AS be FROM n WINDOW w AS (PARTITION BY file_id ORDER BY k)),
+    cut AS (SELECT *, (e + bs) // 2 + 350 AS cut FROM pair WHERE bs - e BETWEEN 0 AND 400),
+    val AS (
+        SELECT c.file_id, c.k, c.be, r.a * 20 AS lo, r.z * 20 AS hi, row_number() OVER (PARTITION BY c.file_id, c.k ORDER BY (r.z - r.a) * 20 - 0.5 * abs((r.a + r.z) * 10 - cut) DESC, r.a) AS best
+        FROM cut c JOIN size USING (file_id) JOIN run r ON r.file_id = c.file_id AND r.quiet AND r.z > greatest(0, (cut - 600) // 20) AND r.a < least(frames, (cut + 600) // 20) WHERE (r.z - r.a) * 20 >= 120),
+    put AS (SELECT file_id, k, least(lo + 80, hi) AS ne, greatest(hi - 40, lo, least(lo + 80, hi)) AS ns, be FROM val WHERE best = 1),
+    walk AS (
+        SELECT n.file_id, n.k, n.s, n.e, n.idx, n.text, p.ne, p.ns FROM n LEFT JOIN put p ON p.file_id = n.file_id AND p.k = n.k AND p.be - p.ns >= 500),
+    mv AS (
+        SELECT file_id, k, s, coalesce(ne - s >= 500, false) AS moved, ns FROM walk WHERE k = 1
+        UNION ALL SELECT w.file_id, w.k, st, coalesce(w.ne - st >= 500, false), w.ns FROM mv JOIN walk w ON w.file_id = mv.file_id AND w.k = mv.k + 1, LATERAL (SELECT CASE WHEN mv.moved THEN mv.ns ELSE w.s END AS st)),
+    sp AS (SELECT w.file_id, w.k, w.idx, w.text, mv.s, CASE WHEN mv.moved THEN w.ne ELSE w.e END AS e FROM mv JOIN walk w USING (file_id, k)),
+    st AS (
+        SELECT sp.file_id, sp.k, min(r.a) * 20 - 150 AS ns FROM sp JOIN fl ON fl.file_id = sp.file_id AND fl.frame = sp.s // 20 AND fl.quiet JOIN size ON size.file_id = sp.file_id
+        JOIN run r ON r.file_id = sp.file_id AND NOT r.quiet AND r.z - r.a >= 3 AND r.z > sp.s // 20 AND r.a < least(frames, sp.s // 20 + 30) GROUP BY ALL),
+    sq AS (SELECT sp.file_id, sp.k, idx, text, e, CASE WHEN ns > s AND e - ns >= 500 THEN ns ELSE s END AS s FROM sp LEFT JOIN st USING (file_id, k)),
+    en AS (
+        SELECT sq.file_id, sq.k, max(r.z) * 20 + 80 AS ne FROM sq JOIN fl ON fl.file_id = sq.file_id AND fl.frame = (sq.e - 1) // 20 AND fl.quiet
+        JOIN run r ON r.file_id = sq.file_id AND NOT r.quiet AND r.z - r.a >= 3 AND r.z > greatest(0, (sq.e - 1) // 20 - 29) AND r.a < (sq.e - 1) // 20 + 1 GROUP BY ALL),
+    sn AS (SELECT sq.file_id, sq.k, idx, text, s, CASE WHEN ne < e AND ne - s >= 500 THEN ne ELSE e END AS e FROM sq LEFT JOIN en USING (file_id, k))"""
+_NEAR = _NEAR.replace("CUES WITH", "CUES WITH RECURSIVE")
+
+
+@query("post_process", f"""{_NEAR}, {_SNAPPED},
+    mg AS (
+        SELECT file_id, k, idx, s, e, text, 1 AS members, k AS grp FROM sn WHERE k = 1
+        UNION ALL SELECT c.file_id, c.k, CASE WHEN j THEN g.idx ELSE c.idx END, CASE WHEN j THEN g.s ELSE c.s END, c.e, CASE WHEN j THEN g.text || c.text ELSE c.text END, CASE WHEN j THEN g.members + 1 ELSE 1 END, CASE WHEN j THEN g.grp ELSE c.k END
+        FROM mg g JOIN sn c ON c.file_id = g.file_id AND c.k = g.k + 1,
+            LATERAL (SELECT c.s - g.e BETWEEN 0 AND 1500 AND (g.e - g.s < 1200 OR c.e - c.s < 1200) AND c.e - g.s <= 10000 AND length(g.text) + length(c.text) <= 40 AND NOT regexp_matches(rtrim(g.text), '[。！？!?」』）)】〕〉》]$|^$') AS j)),
+    grp AS (SELECT file_id, grp, arg_max(idx, k) AS idx, arg_max(s, k) AS s, arg_max(e, k) AS e, arg_max(text, k) AS text, max(members) AS members FROM mg GROUP BY file_id, grp),
+    vo AS (
+        SELECT g.file_id, g.grp, min(greatest(r.a, g.s // 20)) FILTER (w >= 3) * 20 AS von, max(least(r.z, g.e // 20, frames)) FILTER (w >= 3) * 20 AS voff
+        FROM grp g JOIN size USING (file_id) JOIN run r ON r.file_id = g.file_id AND NOT r.quiet AND r.z > g.s // 20 AND r.a < least(frames, g.e // 20), LATERAL (SELECT least(r.z, g.e // 20, frames) - greatest(r.a, g.s // 20) AS w) GROUP BY ALL),
+    ra AS (
+        SELECT g.*, von, voff, n_chars, n_chars / ((voff - von) / 1000) AS rate, lead(g.s) OVER (PARTITION BY g.file_id ORDER BY g.grp) AS after
+        FROM grp g LEFT JOIN vo USING (file_id, grp), LATERAL (SELECT length(regexp_replace(text, '[^0-9A-Za-z]', '', 'g')) AS n_chars)),
+    ti AS (SELECT *, von IS NOT NULL AND n_chars > 0 AS heard, CASE WHEN rate >= 7.0 THEN 2 WHEN rate >= 5.5 THEN 1 ELSE 0 END AS tier FROM ra),
+    ta AS (SELECT *, CASE WHEN tier = 2 THEN 20 ELSE CAST(trunc(least(250.0, greatest([180, 100, 20][tier + 1], CASE WHEN after IS NULL THEN 250.0 ELSE 0.18 * (after - voff - 400) END)) + 0.5) AS BIGINT) END AS tail FROM ti),
+    nd AS (SELECT *, CASE WHEN heard AND (after IS NULL OR after - voff > 400) THEN greatest(e, CASE WHEN after IS NULL THEN voff + tail ELSE least(voff + tail, after - 50) END) ELSE e END AS ne FROM ta),
+    pr AS (SELECT *, lag(ne) OVER (PARTITION BY file_id ORDER BY grp) AS prev FROM nd)
+    SELECT file_id, idx, CASE WHEN heard AND (prev IS NULL OR von - prev > 400) THEN least(s, greatest(von - [120, 80, 40][tier + 1], coalesce(prev + 1, 0))) ELSE s END AS start_ms, ne AS end_ms, text, members FROM pr""")
 def post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _near(spark, sf_dir)
     return post.post_process_files(c.select("file_id", "idx", "start_ms", "end_ms", "text"), _levels(c))
 
 
-@query("snap_refine")
+@query("snap_refine", f"{_NEAR}, {_SNAPPED} SELECT file_id, idx, s AS start_ms, e AS end_ms, text, 1 AS members FROM sn")
 def snap_refine(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _near(spark, sf_dir)
     return post.post_process_files(c.select("file_id", "idx", "start_ms", "end_ms", "text"), _levels(c), "snap refine")
 
 
-@query("long_cue_split")
+@query("long_cue_split", r"""
+    WITH c AS (SELECT conv_id AS file_id, turn AS idx, turn * 60000 AS s, turn * 60000 + length(text) * 60 AS e, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM conversations),
+    f AS (SELECT *, list_transform(regexp_extract_all(text, '(?s)[^。！？!?…‥．.]*[。！？!?…‥．.]+[」』）)】〕》〉"”’]*'), lambda x: length(x)) AS sizes FROM c),
+    d AS (SELECT *, list_transform(range(1, len(sizes) + 1), lambda i: list_sum(sizes[:i])) AS ends FROM f),
+    g AS (SELECT *, CASE WHEN e - s <= 7000 AND length(trim(text)) <= 40 THEN [0] ELSE list_reduce(list_concat([[0]], list_transform(ends, lambda x: [x])), lambda a, x: CASE WHEN x[1] - a[-1] >= 4 AND n - x[1] >= 4 THEN list_concat(a, x) ELSE a END) END AS cuts FROM d),
+    h AS (SELECT *, len(cuts) - 1 AS m, list_transform(cuts, lambda x: s + (e - s) * x // greatest(n, 1)) AS even FROM g),
+    t AS (SELECT *, list_append(list_reduce(list_transform(even, lambda x: [x]), lambda a, x: list_concat(a, [least(greatest(x[1], a[-1] + 300), e - 300 * (m - len(a) + 1))])), e) AS tight, list_append(even, e) AS loose FROM h),
+    k AS (SELECT *, list_bool_and(list_transform(range(1, m + 2), lambda i: tight[i + 1] > tight[i])) AS t_ok, list_bool_and(list_transform(range(1, m + 2), lambda i: loose[i + 1] > loose[i])) AS l_ok FROM t),
+    o AS (SELECT *, CASE WHEN m = 0 OR NOT (t_ok OR l_ok) THEN [s, e] WHEN t_ok THEN tight ELSE loose END AS times, CASE WHEN m = 0 OR NOT (t_ok OR l_ok) THEN [0, n] ELSE list_append(cuts, n) END AS edges FROM k),
+    u AS (SELECT *, unnest(range(1, len(times))) AS i FROM o)
+    SELECT file_id, idx, CAST(i - 1 AS INTEGER) AS piece, times[i] AS start_ms, times[i + 1] AS end_ms, substr(text, CAST(edges[i] + 1 AS BIGINT), CAST(edges[i + 1] - edges[i] AS BIGINT)) AS text FROM u""")
 def long_cue_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), (F.col("turn") * 60000).alias("start_ms"), (F.col("turn") * 60000 + F.length("text") * 60).alias("end_ms"), "text")
     return cuebuild.split_files(turns)
 
 
-@query("cue_build")
+@query("cue_build", r"""
+    WITH RECURSIVE t AS (SELECT conv_id AS file_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+    i AS (SELECT file_id, turn, len(w) AS n, unnest(w) AS x, unnest(range(len(w))) AS i FROM t),
+    y AS (SELECT *, regexp_replace(x, '[」』）)】〕》〉"”’]+$', '') AS said, coalesce(regexp_full_match(lead(x) OVER (PARTITION BY file_id, turn ORDER BY i), '[」』）)】〕》〉"”’]*'), false) AS closing FROM i),
+    f AS (SELECT *, regexp_matches(said, '[。！？!?…‥．.]$') AND NOT closing AND NOT (said LIKE '%.' AND (lower(left(said, -1)) IN ('mr', 'mrs', 'ms', 'dr', 'prof', 'sr', 'jr', 'st', 'mt', 'no', 'vs', 'etc') OR regexp_full_match(left(said, -1), '[A-Z]'))) AS stops FROM y),
+    g AS (SELECT *, coalesce(sum(CAST(stops AS INTEGER)) OVER (PARTITION BY file_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM f),
+    sp AS (
+        SELECT file_id, turn, n, min(i) AS a, max(i) + 1 AS z FROM g GROUP BY file_id, turn, n, s
+        UNION ALL SELECT file_id, turn, n, CASE WHEN half = 0 THEN a ELSE cut END, CASE WHEN half = 0 THEN cut ELSE z END
+        FROM sp, LATERAL (SELECT a + greatest(1, (z - a) // 4) AS lo), LATERAL (SELECT list_transform(range(lo, greatest(lo + 1, z - greatest(1, (z - a) // 4))), lambda k: 300 + CASE WHEN k % 17 = 0 THEN 40 WHEN k % 17 = 1 THEN -40 ELSE 0 END) AS gaps),
+            LATERAL (SELECT lo + list_position(gaps, list_max(gaps)) - 1 AS cut), (VALUES (0), (1)) h(half)
+        WHERE z - a >= 4 AND (z - 1 - a) * 300 + CASE WHEN (z - 1) % 17 = 0 THEN 40 ELSE 0 END - CASE WHEN a % 17 = 0 THEN 40 ELSE 0 END > 15000),
+    le AS (SELECT * FROM sp WHERE NOT (z - a >= 4 AND (z - 1 - a) * 300 + CASE WHEN (z - 1) % 17 = 0 THEN 40 ELSE 0 END - CASE WHEN a % 17 = 0 THEN 40 ELSE 0 END > 15000)),
+    od AS (
+        SELECT *, row_number() OVER v AS k, turn * 600000 AS low, turn * 600000 + n * 300 + 1000 AS high, turn * 600000 + 200 + a * 300 + CASE WHEN a % 17 = 0 THEN 40 ELSE 0 END AS first,
+            turn * 600000 + 200 + (z - 1) * 300 + CASE WHEN (z - 1) % 17 = 0 THEN 40 ELSE 0 END AS last, lead(a) OVER v AS nx FROM le WINDOW v AS (PARTITION BY file_id, turn ORDER BY a)),
+    hi AS (SELECT *, CASE WHEN nx IS NULL THEN high ELSE turn * 600000 + 50 + nx * 300 + CASE WHEN nx % 17 = 0 THEN 40 ELSE 0 END END AS due FROM od),
+    cu AS (
+        SELECT file_id, turn, k, a, z, low AS s, greatest(least(high, greatest(due, last + 40, low + 300)), low + 1) AS e FROM hi WHERE k = 1
+        UNION ALL SELECT h.file_id, h.turn, h.k, h.a, h.z, st, CASE WHEN en > st THEN en ELSE st + 40 END
+        FROM cu JOIN hi h ON h.file_id = cu.file_id AND h.turn = cu.turn AND h.k = cu.k + 1, LATERAL (SELECT greatest(cu.e, h.first - 150) AS st), LATERAL (SELECT least(h.high, greatest(h.due, h.last + 40, st + 300)) AS en)),
+    fi AS (SELECT *, lead(s) OVER v AS after, row_number() OVER v - 1 AS idx FROM cu WINDOW v AS (PARTITION BY file_id ORDER BY turn, k))
+    SELECT file_id, idx, s AS start_ms, CASE WHEN s < after AND after < e THEN after ELSE e END AS end_ms, array_to_string(w[a + 1 : z], ' ') AS text,
+        array_to_string(list_transform(range(a, z), lambda j: greatest(0, turn * 600000 + 200 + j * 300 + CASE WHEN j % 17 = 0 THEN 40 ELSE 0 END - s)), ',') AS offsets
+    FROM fi JOIN t USING (file_id, turn)""")
 def cue_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as recognised segments of word tokens, built into cues."""
     t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), "turn", F.transform(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda x: F.concat(F.lit("▁"), x)).alias("tokens"))
     start = F.col("turn") * 600_000
     times = F.transform("tokens", lambda x, i: start + 200 + i * 300 + F.when(i % 17 == 0, 40).otherwise(0))
-    return cuebuild.build_files(t.select("file_id", start.alias("start_ms"), (start + F.size("tokens") * 300 + 1000).alias("end_ms"), "tokens", times.alias("times")))
+    cues = cuebuild.build_files(t.select("file_id", start.alias("start_ms"), (start + F.size("tokens") * 300 + 1000).alias("end_ms"), "tokens", times.alias("times")))
+    return cues.withColumn("offsets", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ","))
 
 
-@query("vad_segments")
+#: Speech runs in whole cues of 40 windows, cut every 469 windows once 625 are open; a cut that comes due in the silence behind a run falls on its end.
+_SEGMENTS = f"""{_NEAR.replace(" RECURSIVE", "")},
+    sp AS (SELECT file_id, k, CAST(trunc(value * 3) AS BIGINT) % 4 > 0 AS voiced, max(k) OVER (PARTITION BY file_id) AS last FROM n),
+    g AS (SELECT *, k - row_number() OVER (PARTITION BY file_id ORDER BY k) AS g FROM sp WHERE voiced),
+    r AS (SELECT file_id, (min(k) - 1) * 40 AS a, max(k) * 40 AS z, max(last) * 40 AS total FROM g GROUP BY file_id, g),
+    c AS (SELECT *, CASE WHEN z - a >= 625 THEN (z - a - 625) // 469 + 1 ELSE 0 END AS cuts FROM r),
+    p AS (SELECT file_id, total, a + 469 * i AS a, CASE WHEN i < cuts THEN a + 469 * (i + 1) ELSE z END AS z, i < cuts OR (z < total AND a + 469 * i + 625 <= z + 15) AS forced FROM c, LATERAL (SELECT unnest(range(cuts + 1)) AS i)),
+    q AS (SELECT *, z * 32 + CASE WHEN forced THEN 0 ELSE 250 END AS stop FROM p WHERE (z - a) * 32 >= 250)
+    SELECT file_id, greatest(coalesce(lag(stop) OVER (PARTITION BY file_id ORDER BY a), 0), a * 32 - 500) AS start_ms, least(stop, total * 32) AS end_ms, a * 32 AS raw_start_ms, z * 32 AS raw_end_ms FROM q"""
+
+
+@query("vad_segments", _SEGMENTS)
 def vad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of each file from its cues' values: probability by value, 40 windows a cue."""
     c = _near(spark, sf_dir)
@@ -68,20 +169,16 @@ def vad_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_files(w.select("file_id", ((F.col("k") - 1) * 40 + F.col("j")).alias("window"), F.when((F.col("value") * 3).cast("int") % 4 > 0, 0.9).otherwise(0.1).alias("prob")))
 
 
-@query("stream_segments")
+@query("stream_segments", _SEGMENTS)
 def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same segments out of a stream over files, with state between micro-batches."""
-    import tempfile
-    import uuid
-
     from weftline.streaming.sessions import run_available
     from weftline.streaming.sessions import stream_segments as stream
 
     c = _near(spark, sf_dir)
     w = c.select("file_id", "k", "value", F.max("k").over(Window.partitionBy("file_id")).alias("n"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("j"))
     w = w.select("file_id", ((F.col("k") - 1) * 40 + F.col("j")).alias("window"), F.when((F.col("value") * 3).cast("int") % 4 > 0, 0.9).otherwise(0.1).alias("prob"), ((F.col("k") == F.col("n")) & (F.col("j") == 39)).alias("last"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{base}/stream-{uuid.uuid4().hex[:8]}"
+    root = shared_folder(spark, "stream")
     w.write.parquet(f"{root}/in")
     return run_available(stream(spark.readStream.schema(w.schema).parquet(f"{root}/in")), spark, f"{root}/out", f"{root}/state")
 
@@ -89,12 +186,8 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_sessions", "WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 6 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e) SELECT user_id, count(*) AS n, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, s.s")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a stream in complete form: every row has come when the query ends."""
-    import tempfile
-    import uuid
-
     events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    root = f"{base}/sessions-{uuid.uuid4().hex[:8]}"
+    root = shared_folder(spark, "sessions")
     events.write.parquet(f"{root}/in")
     from weftline.streaming.sessions import session_counts
 
@@ -123,15 +216,50 @@ def pick_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.pack_batches(li.withColumn("tie", F.col("l_orderkey") * 10 + F.col("l_linenumber")), "shard", "frames", "tie", 640, 16).drop("tie")
 
 
-@query("forced_alignment")
+@query("forced_alignment", """
+    WITH RECURSIVE f AS (SELECT vec_id // 50 AS utterance, vec_id % 50 AS t, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
+    p AS (SELECT utterance, t, list_transform(x, lambda v: v - list_max(x) - ln(list_sum(list_transform(x, lambda y: exp(y - list_max(x)))))) AS lp FROM f),
+    l AS (SELECT [0, 1, 0, 2, 0, 2, 0, 5, 0, 7, 0] AS label),
+    r AS (
+        SELECT utterance, t, list_transform(range(11), lambda i: CASE WHEN i < 2 THEN lp[label[i + 1] + 1] ELSE -1e300 END) AS score, list_transform(range(11), lambda i: [i]) AS path FROM p, l WHERE t = 0
+        UNION ALL
+        SELECT p.utterance, p.t, list_transform(range(11), lambda i: r.score[i + 1 - b[i + 1]] + p.lp[label[i + 1] + 1]), list_transform(range(11), lambda i: list_append(r.path[i + 1 - b[i + 1]], i))
+        FROM r JOIN p ON p.utterance = r.utterance AND p.t = r.t + 1, l,
+            LATERAL (SELECT list_transform(range(11), lambda i: CASE
+                WHEN i >= 3 AND i % 2 = 1 AND label[i + 1] <> label[i - 1] AND r.score[i - 1] > greatest(r.score[i + 1], r.score[i]) THEN 2
+                WHEN i >= 1 AND r.score[i] > r.score[i + 1] THEN 1 ELSE 0 END) AS b)),
+    z AS (SELECT utterance, CASE WHEN score[11] >= score[10] THEN path[11] ELSE path[10] END AS states, score FROM r QUALIFY row_number() OVER (PARTITION BY utterance ORDER BY t DESC) = 1),
+    s AS (SELECT utterance, unnest(states) AS state, unnest(range(len(states))) AS t FROM z WHERE greatest(score[11], score[10]) > -1e299),
+    m AS (SELECT s.utterance, (state - 1) // 2 AS k, s.t, label[state + 1] AS id, lp[label[state + 1] + 1] AS v FROM s JOIN p USING (utterance, t), l WHERE state % 2 = 1)
+    SELECT utterance, CAST(k AS INTEGER) AS k, CAST(id AS INTEGER) AS id, CAST(min(t) AS INTEGER) AS first, CAST(max(t) AS INTEGER) AS last, round(avg(v), 6) AS score FROM m GROUP BY utterance, k, id""")
 def forced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     frames = e.select(F.expr("vec_id div 50").alias("utterance"), F.col("vec_id").alias("frame"), F.slice("embedding", 1, 8).alias("logits"))
     targets = frames.select("utterance").distinct().select("utterance", F.array(*(F.lit(k) for k in (1, 2, 2, 5, 7))).alias("ids"))
-    return decode.align_utterances(frames, targets)
-
-
-@query("mel_features")
+    return decode.align_utterances(frames, targets).withColumn("score", F.round("score", 6))
+
+
+@query("mel_features", """
+    WITH w AS (SELECT vec_id // 40 AS wave, row_number() OVER (PARTITION BY vec_id // 40 ORDER BY vec_id, i) - 1 AS i, CAST(x AS DOUBLE) AS x FROM (SELECT vec_id, unnest(embedding) AS x, unnest(range(len(embedding))) AS i FROM embeddings)),
+    z AS (SELECT wave, count(*) AS n FROM w GROUP BY wave),
+    fa AS (SELECT wave, n, f, j, (f * 160 - 120 + j + 2 * n) % (2 * n) AS q FROM z, range(0, (SELECT max((n + 80) // 160) FROM z)) a(f), range(400) b(j) WHERE f < (n + 80) // 160),
+    fx AS (SELECT fa.wave, f, j, x FROM fa JOIN w ON w.wave = fa.wave AND w.i = CASE WHEN q >= n THEN 2 * n - 1 - q ELSE q END),
+    fm AS (SELECT wave, f, j, x - avg(x) OVER (PARTITION BY wave, f) AS x FROM fx),
+    fp AS (SELECT wave, f, j, CASE WHEN j = 0 THEN x * (1 - 0.97) ELSE x - 0.97 * lag(x) OVER (PARTITION BY wave, f ORDER BY j) END * pow(0.5 - 0.5 * cos(2 * pi() * j / 399), 0.85) AS x FROM fm),
+    fs AS (SELECT wave, f, k, pow(sum(x * cos(2 * pi() * (k * j % 512) / 512)), 2) + pow(sum(x * sin(2 * pi() * (k * j % 512) / 512)), 2) AS p FROM fp, range(256) c(k) GROUP BY ALL),
+    me AS (SELECT 1127 * ln(1 + 20 / 700) + (1127 * ln(1 + 7600 / 700) - 1127 * ln(1 + 20 / 700)) * b / 81 AS e, b FROM range(82) d(b)),
+    mb AS (SELECT a.b, k, greatest(0, least((m - a.e) / (o.e - a.e), (c.e - m) / (c.e - o.e))) AS v FROM me a JOIN me o ON o.b = a.b + 1 JOIN me c ON c.b = a.b + 2, (SELECT k, 1127 * ln(1 + k * 16000 / 512 / 700) AS m FROM range(256) g(k))),
+    fe AS (SELECT wave, f, b, ln(greatest(sum(p * v), 1.1920928955078125e-07)) AS e FROM fs JOIN mb ON mb.k = fs.k AND v > 0 GROUP BY ALL),
+    one AS (SELECT wave, CAST(max(f) + 1 AS INTEGER) AS frames, round(avg(e), 3) AS mean FROM fe GROUP BY wave),
+    pe AS (SELECT wave, i, x - 0.97 * coalesce(lag(x) OVER (PARTITION BY wave ORDER BY i), 0) AS x FROM w),
+    na AS (SELECT z.wave, f, j, (0.5 - 0.5 * cos(2 * pi() * (j - 56) / 399)) * x AS x FROM z, range(0, (SELECT max(n // 160) FROM z)) a(f), range(56, 456) b(j), pe WHERE f < n // 160 AND pe.wave = z.wave AND pe.i = f * 160 + j - 256),
+    ns AS (SELECT wave, f, k, pow(sum(x * cos(2 * pi() * (k * j % 512) / 512)), 2) + pow(sum(x * sin(2 * pi() * (k * j % 512) / 512)), 2) AS p FROM na, range(257) c(k) GROUP BY ALL),
+    ne AS (SELECT b, CASE WHEN u < 15 THEN u * 200 / 3 ELSE 1000 * exp((u - 15) * ln(6.4) / 27) END AS e FROM (SELECT b, (15 + ln(8) * 27 / ln(6.4)) * b / 81 AS u FROM range(82) d(b))),
+    nb AS (SELECT a.b, k, greatest(0, least((k * 31.25 - a.e) / (o.e - a.e), (c.e - k * 31.25) / (c.e - o.e))) * 2 / (c.e - a.e) AS v FROM ne a JOIN ne o ON o.b = a.b + 1 JOIN ne c ON c.b = a.b + 2, range(257) g(k)),
+    nl AS (SELECT wave, f, b, ln(sum(p * v) + pow(2, -24)) AS e FROM ns JOIN nb ON nb.k = ns.k GROUP BY ALL),
+    nn AS (SELECT wave, f, (e - avg(e) OVER y) / (stddev_samp(e) OVER y + 1e-5) AS e FROM nl WINDOW y AS (PARTITION BY wave, b)),
+    two AS (SELECT wave, CAST(max(f) + 1 AS INTEGER) AS mel_frames, round(max(abs(e)), 3) AS mel_peak FROM nn GROUP BY wave)
+    SELECT wave, frames, mean, mel_frames, mel_peak FROM one JOIN two USING (wave)""")
 def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature sizes and means of waves made of 40 vectors each."""
     e = table(spark, sf_dir, "embeddings").groupBy(F.expr("vec_id div 40").alias("wave")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))), lambda x: x["embedding"])).alias("samples"))
@@ -145,19 +273,86 @@ def mel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((k, f.shape[0], float(f.mean()), m.shape[1], float(np.abs(m).max())))
             yield pd.DataFrame(rows, columns=["wave", "frames", "mean", "mel_frames", "mel_peak"])
 
-    return e.mapInPandas(run, "wave long, frames int, mean double, mel_frames int, mel_peak double")
-
-
-@query("reference_alignment")
+    made = e.mapInPandas(run, "wave long, frames int, mean double, mel_frames int, mel_peak double")
+    return made.withColumns({"mean": F.round("mean", 3), "mel_peak": F.round("mel_peak", 3)})
+
+
+@query("reference_alignment", f"""{_NEAR},
+    tr AS (SELECT file_id, k, idx, s / 1000 + CAST(idx * 7 % 13 AS DOUBLE) * 0.094e0 AS t, count(*) OVER (PARTITION BY file_id) AS n FROM n),
+    rf AS (SELECT file_id, floor(t * 1000 + 0.5e0) / 1000 AS r FROM tr),
+    sb AS (SELECT file_id, floor(x * 1000 + 0.5e0) / 1000 AS u FROM (SELECT file_id, t + CAST(file_id % 5 AS DOUBLE) * 1.5e0 + CASE WHEN 2 * k > n THEN 5.0e0 ELSE 0.0e0 END + CAST(idx % 5 AS DOUBLE) * 0.003e0 AS x FROM tr WHERE idx % 6 > 0)),
+    su AS (SELECT file_id, u, row_number() OVER (PARTITION BY file_id ORDER BY u) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS m FROM sb),
+    df AS (SELECT su.file_id, -1 AS b, r - u AS d FROM su JOIN rf USING (file_id) WHERE abs(r - u) <= 120 UNION ALL SELECT su.file_id, CAST(floor(u / 120) AS INTEGER), r - u FROM su JOIN rf USING (file_id) WHERE abs(r - u) <= 120),
+    ct AS (SELECT file_id, b, CAST(trunc((d + 120.0e0) / 0.01e0) AS BIGINT) AS bin, count(*) AS c FROM df GROUP BY ALL),
+    al AS (SELECT g.file_id, g.b, x.bin, coalesce(c, 0) AS c FROM (SELECT DISTINCT file_id, b FROM df) g CROSS JOIN range(24002) x(bin) LEFT JOIN ct ON ct.file_id = g.file_id AND ct.b = g.b AND ct.bin = x.bin),
+    sm AS (SELECT file_id, b, bin, sum(c) OVER (PARTITION BY file_id, b ORDER BY bin ROWS BETWEEN {int(reference.TOLERANCE / reference.BIN)} PRECEDING AND {int(reference.TOLERANCE / reference.BIN)} FOLLOWING) AS s FROM al),
+    li AS (SELECT file_id, b, list(CAST(s AS INTEGER) ORDER BY bin) AS level FROM sm GROUP BY file_id, b),
+    pk AS (
+        SELECT file_id, b, 0 AS turn, level, CAST(NULL AS DOUBLE) AS centre FROM li
+        UNION ALL SELECT file_id, b, turn + 1, list_transform(level, lambda x, i: CASE WHEN i - 1 >= greatest(0, trunc(mid - 50)) AND i - 1 <= trunc(mid + 50) THEN 0 ELSE x END), (mid + 0.5e0) * 0.01e0 - 120.0e0
+        FROM pk, LATERAL (SELECT list_max(level) AS top), LATERAL (SELECT list_position(level, top) AS f), LATERAL (SELECT f + list_position(list_transform(level[f:], lambda x: x = top), false) - 2 AS l), LATERAL (SELECT CAST(f - 1 + l - 1 AS DOUBLE) / 2 AS mid)
+        WHERE top > 0 AND turn < CASE WHEN b < 0 THEN 6 ELSE 2 END),
+    pm AS (SELECT pk.file_id, pk.b, turn, median(d) AS x FROM pk JOIN df ON df.file_id = pk.file_id AND df.b = pk.b AND abs(d - centre) <= 0.35e0 WHERE turn > 0 GROUP BY ALL),
+    of AS (SELECT file_id, list_reduce(list_concat([CAST([] AS DOUBLE[])], list([x] ORDER BY b, turn)), lambda a, x: CASE WHEN len(list_filter(a, lambda y: abs(x[1] - y) <= 0.5e0)) = 0 THEN list_concat(a, x) ELSE a END) AS offers FROM pm GROUP BY file_id),
+    ox AS (SELECT file_id, unnest(offers) AS x, unnest(range(len(offers))) AS o FROM of),
+    ht AS (SELECT su.file_id, o, x, i, m, u, CAST(coalesce(bool_or(abs((u + x) - r) <= 0.35e0), false) AS INTEGER) AS h FROM su JOIN ox USING (file_id) LEFT JOIN rf ON rf.file_id = su.file_id AND r BETWEEN u + x - 1 AND u + x + 1 GROUP BY ALL),
+    ov AS (SELECT file_id, o, x, sum(h) AS hits FROM ht GROUP BY ALL),
+    c0 AS (SELECT file_id, o, x, hits FROM ov QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY hits DESC, o) = 1),
+    ch AS (SELECT file_id, least(1.0e0, 2 * 0.35e0 * count(*) / (max(r) - min(r))) AS chance, count(*) AS refs FROM rf GROUP BY file_id),
+    cm AS (SELECT *, sum(h) OVER (PARTITION BY file_id, o ORDER BY i) AS upto FROM ht),
+    pr AS (
+        SELECT a.file_id, CASE WHEN w = 0 THEN d.o ELSE a.o END AS right_o, CASE WHEN w = 0 THEN a.o ELSE d.o END AS left_o, d.o AS d, w, a.hits AS now FROM c0 a JOIN ov d ON d.file_id = a.file_id AND d.o <> a.o, (VALUES (0), (1)) z(w)),
+    bo AS (
+        SELECT pr.*, l.i + 1 AS place, l.upto + rv.hits - r.upto AS got, l.upto AS ll, r.upto AS lr, rv.hits - r.upto AS rr, lv.hits - l.upto AS rl, l.m, lv.x AS lx, rv.x AS rx
+        FROM pr JOIN cm l ON l.file_id = pr.file_id AND l.o = left_o JOIN cm r ON r.file_id = pr.file_id AND r.o = right_o AND r.i = l.i JOIN ov lv ON lv.file_id = pr.file_id AND lv.o = left_o JOIN ov rv ON rv.file_id = pr.file_id AND rv.o = right_o
+        WHERE l.i + 1 BETWEEN 12 AND l.m - 12 QUALIFY row_number() OVER (PARTITION BY pr.file_id, d, w ORDER BY got DESC, place) = 1),
+    sp AS (
+        SELECT bo.* FROM bo JOIN ch USING (file_id) WHERE (got - now) / m >= 0.02e0 AND abs(lx - rx) BETWEEN 1 AND 60 AND least(ll / place, rr / (m - place)) >= 2.5e0 * chance
+            AND CASE WHEN place <= m - place THEN ll / place - lr / place ELSE rr / (m - place) - rl / (m - place) END >= 0.35e0
+        QUALIFY row_number() OVER (PARTITION BY bo.file_id ORDER BY got DESC, d, w) = 1),
+    sg AS (
+        SELECT file_id, 0 AS part, CAST(0 AS BIGINT) AS a, place AS z, lx AS x FROM sp UNION ALL SELECT file_id, 1, place, m, rx FROM sp
+        UNION ALL SELECT c0.file_id, 0, 0, (SELECT max(m) FROM su WHERE su.file_id = c0.file_id), x FROM c0 WHERE file_id NOT IN (SELECT file_id FROM sp)),
+    gr AS (SELECT sg.*, j, x + CAST(j AS DOUBLE) * 0.01e0 AS y FROM sg, range(-60, 61) q(j) UNION ALL SELECT sg.*, 999, 0.0e0 FROM sg),
+    gh AS (SELECT gr.file_id, part, j, y, su.i, bool_or(abs((u + y) - r) <= 0.35e0) AS h FROM gr JOIN su ON su.file_id = gr.file_id AND su.i >= a AND su.i < z JOIN rf ON rf.file_id = gr.file_id AND r BETWEEN u + y - 1.5 AND u + y + 1.5 GROUP BY ALL),
+    gc AS (SELECT file_id, part, j, y, sum(CAST(h AS INTEGER)) AS hits FROM gh GROUP BY ALL),
+    gt AS (SELECT *, max(hits) FILTER (j < 999) OVER (PARTITION BY file_id, part) AS top FROM gc),
+    gi AS (SELECT *, j - row_number() OVER (PARTITION BY file_id, part ORDER BY j) AS island FROM gt WHERE hits = top AND j < 999),
+    gl AS (SELECT file_id, part, arg_min(y, j) AS y0, arg_max(y, j) AS y1, count(*) AS size, min(j) AS j0, any_value(top) AS top FROM gi GROUP BY file_id, part, island QUALIFY row_number() OVER (PARTITION BY file_id, part ORDER BY count(*) DESC, min(j)) = 1),
+    fo AS (SELECT gl.file_id, gl.part, CASE WHEN abs((y0 + y1) / 2) < 0.35e0 AND coalesce(z0.hits, 0) >= gl.top THEN 0.0e0 ELSE (y0 + y1) / 2 END AS off FROM gl LEFT JOIN gc z0 ON z0.file_id = gl.file_id AND z0.part = gl.part AND z0.j = 999),
+    fh AS (SELECT su.file_id, f.part, su.i, u, m, CAST(coalesce(bool_or(abs((u + off) - r) <= 0.35e0), false) AS INTEGER) AS h FROM su JOIN fo f USING (file_id) LEFT JOIN rf ON rf.file_id = su.file_id AND r BETWEEN u + off - 1.5 AND u + off + 1.5 GROUP BY ALL),
+    bt AS (SELECT l.file_id, l.i + 1 AS k, l.u, l.m, sum(l.h) OVER w + sum(r.h) OVER (PARTITION BY l.file_id) - sum(r.h) OVER w AS total FROM fh l JOIN fh r ON r.file_id = l.file_id AND r.i = l.i AND l.part = 0 AND r.part = 1 WINDOW w AS (PARTITION BY l.file_id ORDER BY l.i)),
+    be AS (SELECT sp.file_id, greatest(1, coalesce(max(k) FILTER (bt.total <> h.total AND k < place), 0) + 1) AS lo, least(bt.m - 1, coalesce(min(k) FILTER (bt.total <> h.total AND k > place), bt.m) - 1) AS hi FROM sp JOIN bt ON bt.file_id = sp.file_id JOIN (SELECT file_id, k AS at_k, total FROM bt) h ON h.file_id = sp.file_id AND h.at_k = place GROUP BY sp.file_id, bt.m),
+    br AS (SELECT be.file_id, (x.u + y.u) / 2 AS t FROM be JOIN su x ON x.file_id = be.file_id AND x.i = lo - 1 JOIN su y ON y.file_id = be.file_id AND y.i = hi),
+    mp AS (SELECT fh.file_id, fh.i, u, fh.h, fh.m FROM fh JOIN sg ON sg.file_id = fh.file_id AND sg.part = fh.part AND fh.i >= a AND fh.i < z),
+    un AS (SELECT *, i - row_number() OVER (PARTITION BY file_id, h ORDER BY i) AS island FROM mp),
+    ul AS (SELECT file_id, max(w) AS unchecked FROM (SELECT file_id, max(u) - min(u) AS w FROM un WHERE h = 0 GROUP BY file_id, island) GROUP BY file_id),
+    fs AS (SELECT mp.file_id, avg(h) AS score, any_value(m) AS m FROM mp GROUP BY mp.file_id),
+    fl AS (SELECT *, least(m, refs) AS n0, least(1.0e0, chance + 4 * sqrt(chance * (1 - chance) / greatest(1, least(m, refs)))) AS floor, coalesce(unchecked, 0) AS uc FROM fs JOIN ch USING (file_id) LEFT JOIN ul USING (file_id))
+    SELECT file_id AS pair_id, CASE WHEN n0 < 5 THEN 'tooFew' WHEN floor >= 1 THEN 'notMeasurable' WHEN score <= floor THEN 'doesNotHold' WHEN score / chance < 1.5 THEN 'weak' WHEN uc >= 120 THEN 'partialCoverage' WHEN score / chance < 2.5 THEN 'uncertain' ELSE 'accepted' END AS verdict,
+        round(score, 9) AS score, round(score / chance, 9) AS excess, (SELECT string_agg(CAST(replace(printf('%.3f', off), '.', '') AS BIGINT), ',' ORDER BY part) FROM fo WHERE fo.file_id = fl.file_id) AS offsets_ms, coalesce((SELECT string_agg(CAST(replace(printf('%.3f', t), '.', '') AS BIGINT), ',') FROM br WHERE br.file_id = fl.file_id), '') AS breaks_ms FROM fl""")
 def reference_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each user's clock-like track against itself, later by a shift that changes half way."""
-    c = _near(spark, sf_dir).withColumn("t", F.col("start_ms") / 1000 + (F.col("idx") * 7 % 13) * 0.09)
+    """Each user's clock-like track against itself, later by a shift that grows by 5 s half way, its starts up to 12 ms off."""
+    c = _near(spark, sf_dir).withColumn("t", F.col("start_ms") / 1000 + (F.col("idx") * 7 % 13) * 0.094).withColumn("n", F.count("*").over(Window.partitionBy("file_id")))
     ref = c.select(F.col("file_id").alias("pair_id"), F.lit("ref").alias("side"), F.col("t").alias("start_s"))
-    sub = c.where("idx % 6 > 0").select(F.col("file_id").alias("pair_id"), F.lit("sub").alias("side"), (F.col("t") + F.col("file_id") % 5 * 1.5).alias("start_s"))
-    return reference.align_tracks(ref.unionByName(sub))
-
-
-@query("clock_fit")
+    later = F.col("t") + F.col("file_id") % 5 * 1.5 + F.when(2 * F.col("k") > F.col("n"), 5.0).otherwise(0.0) + F.col("idx") % 5 * 0.003
+    sub = c.where("idx % 6 > 0").select(F.col("file_id").alias("pair_id"), F.lit("sub").alias("side"), later.alias("start_s"))
+    ms = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 1000).cast("long").cast("string")), ",")
+    return reference.align_tracks(ref.unionByName(sub)).select("pair_id", "verdict", "score", "excess", ms(F.col("offsets")).alias("offsets_ms"), ms(F.col("breaks")).alias("breaks_ms"))
+
+
+@query("clock_fit", f"""{_NEAR.replace(" RECURSIVE", "")},
+    p AS (SELECT file_id, k, CAST(s AS DOUBLE) AS x, CAST(s + CASE WHEN k > 30 THEN 9000 ELSE 4000 END + idx % 5 * 20 AS DOUBLE) AS y FROM n),
+    j AS (SELECT *, CASE WHEN abs((y - x) - lag(y - x) OVER w) <= 2000 + least(2000, 0.05 * (x - lag(x) OVER w)) THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY file_id ORDER BY k)),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY k) AS grp FROM j),
+    m AS (SELECT *, row_number() OVER v - 1 AS i, count(*) OVER (PARTITION BY file_id, grp) AS n FROM g WINDOW v AS (PARTITION BY file_id, grp ORDER BY k)),
+    taken AS (SELECT m.* FROM m WHERE n <= 32 OR i IN (SELECT CAST(round(q * (m.n - 1) / 31) AS BIGINT) FROM range(32) t(q))),
+    slope AS (SELECT a.file_id, a.grp, median((b.y - a.y) / (b.x - a.x)) AS rate FROM taken a JOIN taken b ON a.file_id = b.file_id AND a.grp = b.grp AND b.x - a.x >= 15000 GROUP BY ALL),
+    line AS (SELECT m.file_id, m.grp, CASE WHEN rate BETWEEN 0.9 AND 1.1 AND abs(rate - 1) * (max(x) - min(x)) >= 1500 THEN rate ELSE 1.0 END AS rate, min(x) AS a, max(x) AS z, count(*) AS points FROM m LEFT JOIN slope USING (file_id, grp) GROUP BY m.file_id, m.grp, slope.rate HAVING count(*) >= 2),
+    off AS (SELECT l.*, (SELECT median(y - l.rate * x) FROM m WHERE m.file_id = l.file_id AND m.grp = l.grp) AS o, sum(points) OVER (PARTITION BY file_id) AS total FROM line l),
+    near AS (SELECT *, lag(z) OVER v AS pz, lead(a) OVER v AS na, row_number() OVER v - 1 AS region FROM off WHERE total >= 4 WINDOW v AS (PARTITION BY file_id ORDER BY grp))
+    SELECT file_id, CAST(region AS INTEGER) AS region, CAST(rate AS DOUBLE) AS rate, o AS "offset", CAST(greatest(0, -o / rate, CASE WHEN pz + 30000 > a - 30000 THEN (pz + a) / 2 ELSE a - 30000 END) AS DOUBLE) AS start_ms,
+        CAST(CASE WHEN z + 30000 > na - 30000 THEN (z + na) / 2 ELSE z + 30000 END AS DOUBLE) AS end_ms, CAST(points AS INTEGER) AS points FROM near""")
 def clock_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _near(spark, sf_dir).select("file_id", "k", F.col("start_ms").cast("double").alias("source"), (F.col("start_ms") + F.when(F.col("k") > 30, 9000).otherwise(4000) + F.col("idx") % 5 * 20).cast("double").alias("target"))
 
@@ -177,7 +372,31 @@ def book_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.align_books(pieces.select("book_id", (F.col("idx") * 10000 + F.col("k")).alias("idx"), heard.alias("text")), conv)
 
 
-@query("retime_on_speech")
+@query("book_walk", r"""
+    WITH t AS (SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'Opening words of book number ' || conv_id || '. ' ELSE '' END || coalesce(text, '') AS t FROM conversations),
+    w AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS section, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM t),
+    g AS (SELECT *, unnest(range((len(w) + 3) // 4)) AS g FROM w),
+    c AS (SELECT conv_id, section, turn * 10000 + g AS idx, array_to_string(w[4 * g + 1 : 4 * g + 4], ' ') AS x FROM g),
+    n AS (SELECT *, length(regexp_replace(x, '[^0-9A-Za-z]', '', 'g')) AS n FROM c)
+    SELECT conv_id AS book_id, idx, CAST(section AS INTEGER) AS section, CAST(sum(n) OVER v - n AS INTEGER) AS norm_start, CAST(sum(n) OVER v AS INTEGER) AS norm_end, 1.0::DOUBLE AS score,
+        regexp_extract(x, '[「『（(【〔《〈“‘]*[0-9A-Za-z](.*[0-9A-Za-z])?[。！？!?…‥．.」』）)】〕》〉"”’、，,;；:：—]*') AS book_text FROM n WINDOW v AS (PARTITION BY conv_id ORDER BY idx)""")
+def book_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as books of a section a turn, after an opening line, their words in fours as cues heard without a fault."""
+    c = table(spark, sf_dir, "conversations")
+    opening = F.when(F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id")), F.concat(F.lit("Opening words of book number "), F.col("conv_id").cast("string"), F.lit(". "))).otherwise("")
+    books = c.select(F.col("conv_id").alias("book_id"), F.col("turn").alias("idx"), F.concat(opening, F.coalesce("text", F.lit(""))).alias("text"))
+    words = books.select("book_id", "idx", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("w")).where("size(w) > 0")
+    fours = words.select("book_id", "idx", F.posexplode(F.transform(F.sequence(F.lit(0), F.expr("(size(w) - 1) div 4").cast("int")), lambda g: F.array_join(F.slice("w", 4 * g + 1, F.lit(4)), " "))).alias("g", "text"))
+    return book.align_books(fours.select("book_id", (F.col("idx") * 10000 + F.col("g")).alias("idx"), "text"), books)
+
+
+@query("retime_on_speech", """
+    WITH c AS (SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '[^0-9A-Za-z]', '', 'g')) AS t FROM conversations),
+    l AS (SELECT conv_id, string_agg(t, '' ORDER BY turn) AS line FROM c GROUP BY conv_id),
+    m AS (SELECT c.*, length(t) >= 6 AND count(*) OVER (PARTITION BY conv_id, t) = 1 AND length(line) - length(replace(line, t, '')) = length(t) AS found FROM c JOIN l USING (conv_id)),
+    w AS (SELECT *, sum(CAST(found AS INTEGER)) OVER (PARTITION BY conv_id) AS n, min(turn) FILTER (found) OVER (PARTITION BY conv_id) AS lo, max(turn) FILTER (found) OVER (PARTITION BY conv_id) AS hi FROM m)
+    SELECT conv_id AS file_id, turn AS idx, turn * 8000 + s AS start_ms, turn * 8000 + 4000 + s AS end_ms, CAST(n AS INTEGER) AS matched, n >= 4 AS clock
+    FROM w, LATERAL (SELECT CASE WHEN n >= 4 OR turn BETWEEN lo AND hi THEN 5000 ELSE 0 END AS s)""")
 def retime_on_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as subtitles, 5 s early against the transcript."""
     conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), F.col("turn").alias("idx"), "text")
@@ -206,27 +425,26 @@ def retime_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ass_events",
     r"""SELECT conv_id, CAST(4 + row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS line, 'dialogue' AS kind, turn % 60 * 1000 AS start_ms, turn % 60 * 1000 + 500 AS end_ms,
-    '{\i1}' || replace(left(text, 60), chr(10), ' ') AS text, true AS alignable FROM conversations""",
+    '{\i1}' || regexp_replace(text, '\r\n?|\n', ' ', 'g') AS text, true AS alignable FROM conversations""",
 )
 def ass_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations written as scripts, columns in an order of their own, and scanned."""
-    return _scripts(spark, sf_dir, F.regexp_replace(F.substring("text", 1, 60), "\n", " "))
-
-
-@query("ass_events_whole")
-def ass_events_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole turns, a line's end as a space; ass_events, as its SQL has it, takes their first 60 characters."""
-    return _scripts(spark, sf_dir, F.regexp_replace("text", "\r\n?|\n", " "))
-
-
-def _scripts(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
+    """Conversations written as scripts, columns in an order of their own, a line's end as a space, and scanned."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", "\r\n?|\n", " ").alias("text"))
     line = F.concat(F.lit("Dialogue: 0,"), F.format_string("0:00:%02d.00", F.col("turn") % 60), F.lit(","), F.format_string("0:00:%02d.50", F.col("turn") % 60), F.lit(",Default,{\\i1}"), "text")
     body = c.select("conv_id", "turn", line.alias("l")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "l")))["l"], "\n").alias("b"))
     return FM.scan_ass(body.select("conv_id", F.concat(F.lit("[Script Info]\nTitle: x\n\n[Events]\nFormat: Layer, Start, End, Style, Text\n"), "b").alias("text")), ["conv_id"])
 
 
-@query("quiet_cuts")
+@query("quiet_cuts", f"""{_NEAR}, {_LEVELS.replace(_LEVELS[_LEVELS.index("        UNION ALL"):], ")")},
+    ar AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY frame) - 1 AS i, db, count(*) OVER (PARTITION BY file_id) AS n FROM lv),
+    le AS (SELECT file_id, i, n, CAST(sum(db) OVER w AS DOUBLE) / count(*) OVER w AS level FROM ar WINDOW w AS (PARTITION BY file_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+    lists AS (SELECT file_id, list(level ORDER BY i) AS level, max(n) AS n FROM le GROUP BY file_id),
+    cuts AS (
+        SELECT file_id, CAST(0 AS BIGINT) AS pos FROM lists
+        UNION ALL SELECT l.file_id, (lo + list_position(part, list_min(part)) - 1) * 20
+        FROM cuts c JOIN lists l USING (file_id), LATERAL (SELECT greatest(c.pos // 20 + 1, (c.pos + 24000) // 20) AS lo, least(l.n, (c.pos + 36000) // 20 + 1) AS hi), LATERAL (SELECT l.level[lo + 1 : hi] AS part)
+        WHERE c.pos + 30000 < l.n * 20 AND hi > lo)
+    SELECT file_id, pos AS cut_ms FROM cuts WHERE pos > 0""")
 def quiet_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _levels(_near(spark, sf_dir))
 
@@ -236,3 +454,275 @@ def quiet_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]] * len(cuts), "cut_ms": cuts})
 
     return c.groupBy("file_id").applyInPandas(run, "file_id long, cut_ms long")
+
+
+@query("chunk_plan", f"""{_NEAR}, {_LEVELS.replace(_LEVELS[_LEVELS.index("        UNION ALL"):], ")")},
+    ar AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY frame) - 1 AS i, db FROM lv),
+    le AS (SELECT file_id, i, CAST(sum(db) OVER w AS DOUBLE) / count(*) OVER w AS level FROM ar WINDOW w AS (PARTITION BY file_id ORDER BY i ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING)),
+    lists AS (SELECT file_id, list(level ORDER BY i) AS level, count(*) AS n FROM le GROUP BY file_id),
+    cuts AS (
+        SELECT file_id, CAST(0 AS BIGINT) AS pos FROM lists
+        UNION ALL SELECT l.file_id, (lo + list_position(part, list_min(part)) - 1) * 20
+        FROM cuts c JOIN lists l USING (file_id), LATERAL (SELECT c.pos // 20 + 2700 AS lo, least(l.n, c.pos // 20 + 3301) AS hi), LATERAL (SELECT l.level[lo + 1 : hi] AS part) WHERE c.pos + 60000 < l.n * 20),
+    nodes AS (
+        SELECT file_id, pos AS a, coalesce(lead(pos) OVER (PARTITION BY file_id ORDER BY pos), n * 20) AS z FROM cuts JOIN lists USING (file_id)
+        UNION ALL SELECT file_id, CASE WHEN half = 0 THEN a ELSE cut END, CASE WHEN half = 0 THEN cut ELSE z END
+        FROM nodes JOIN lists USING (file_id), LATERAL (SELECT a // 20 + ((z - a) // 2 - (z - a) // 4) // 20 AS lo, a // 20 + ((z - a) // 2 + (z - a) // 4) // 20 + 1 AS hi), LATERAL (SELECT level[lo + 1 : hi] AS part),
+            LATERAL (SELECT (lo + list_position(part, list_min(part)) - 1) * 20 AS cut), (VALUES (0), (1)) h(half)
+        WHERE z - a >= 20000 AND ((z - a) // 1000 + file_id) % 3 > 0),
+    tries AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY a, z DESC) AS ordinal FROM nodes)
+    SELECT file_id, ordinal, a AS start_ms, z AS end_ms FROM tries WHERE NOT (z - a >= 20000 AND ((z - a) // 1000 + file_id) % 3 > 0)""")
+def chunk_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of about a minute; by their length in seconds and their file some prove too full and are halved."""
+    c = _levels(_near(spark, sf_dir))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        db, file = pdf.sort_values("frame")["db"].to_numpy(), int(pdf["file_id"].iloc[0])
+        got = segment.chunk_plan(db, 20, lambda a, z: ((z - a) // 1000 + file) % 3 > 0, 60_000, 6_000, 20_000)
+        return pd.DataFrame([(file, *x) for x in got], columns=["file_id", "ordinal", "start_ms", "end_ms"])
+
+    return c.groupBy("file_id").applyInPandas(run, "file_id long, ordinal long, start_ms long, end_ms long")
+
+
+@query("split_places", f"""{_NEAR.replace(" RECURSIVE", "")},
+    h AS (SELECT file_id, k, s / 1000 AS t, CAST(k <= 35 AND idx % 4 > 0 AS INTEGER) AS a, CAST(k > 20 AND idx % 3 > 0 AS INTEGER) AS b, count(*) OVER (PARTITION BY file_id) AS n FROM n),
+    c AS (SELECT file_id, k, n, sum(a) OVER w + sum(b) OVER (PARTITION BY file_id) - sum(b) OVER w AS total FROM h WINDOW w AS (PARTITION BY file_id ORDER BY k)),
+    best AS (SELECT file_id, n, max(total) AS got, arg_min(k, (-total, k)) AS at_k FROM c WHERE n >= 24 AND k BETWEEN 12 AND n - 12 GROUP BY ALL),
+    e AS (SELECT b.file_id, b.got, b.at_k, greatest(1, coalesce(max(c.k) FILTER (c.total <> b.got AND c.k < b.at_k), 0) + 1) AS lo, least(b.n - 1, coalesce(min(c.k) FILTER (c.total <> b.got AND c.k > b.at_k), b.n) - 1) AS hi FROM best b JOIN c ON c.file_id = b.file_id GROUP BY b.file_id, b.got, b.at_k, b.n)
+    SELECT e.file_id, CAST(got AS BIGINT) AS hits, at_k AS place, (x.t + y.t) / 2 AS break_s FROM e JOIN h x ON x.file_id = e.file_id AND x.k = e.lo JOIN h y ON y.file_id = e.file_id AND y.k = e.hi + 1""")
+def split_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each file best goes over from one row of hits to another, and the middle of the stretch that is as good."""
+    c = _near(spark, sf_dir).select("file_id", "k", (F.col("start_ms") / 1000).alias("t"), ((F.col("k") <= 35) & (F.col("idx") % 4 > 0)).cast("int").alias("a"), ((F.col("k") > 20) & (F.col("idx") % 3 > 0)).cast("int").alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("k")
+        a, b = pdf["a"].to_numpy(), pdf["b"].to_numpy()
+        got, at = reference.best_boundary(a, b)
+        rows = [(pdf["file_id"].iloc[0], got, at, reference.break_time(pdf["t"].to_numpy(), a, b, 0, at))] if at >= 0 else []
+        return pd.DataFrame(rows, columns=["file_id", "hits", "place", "break_s"])
+
+    return c.groupBy("file_id").applyInPandas(run, "file_id long, hits long, place long, break_s double")
+
+
+@query("refined_offsets", f"""{_NEAR.replace(" RECURSIVE", "")},
+    r AS (SELECT file_id, s / 1000.0 + (idx * 7 % 13) * 0.09 AS t FROM n), u AS (SELECT file_id, idx, s / 1000.0 + (idx * 7 % 13) * 0.09 + file_id % 5 * 0.3 AS t FROM n WHERE idx % 6 > 0),
+    g AS (SELECT i, 0.0 + CAST(i AS DOUBLE) * 0.01 AS x FROM range(-60, 61) t(i)),
+    c AS (SELECT u.file_id, i, x, count(DISTINCT u.idx) FILTER (abs((u.t + x) - r.t) <= 0.35) AS hits FROM u, g, r WHERE r.file_id = u.file_id AND r.t BETWEEN u.t + x - 0.5 AND u.t + x + 0.5 GROUP BY ALL),
+    a AS (SELECT g.i, g.x, f.file_id, coalesce(hits, 0) AS hits FROM g CROSS JOIN (SELECT DISTINCT file_id FROM u) f LEFT JOIN c ON c.i = g.i AND c.file_id = f.file_id),
+    m AS (SELECT *, max(hits) OVER (PARTITION BY file_id) AS top FROM a),
+    s AS (SELECT *, i - row_number() OVER (PARTITION BY file_id ORDER BY i) AS grp FROM m WHERE hits = top),
+    l AS (SELECT file_id, min(i) AS lo, max(i) AS hi, min(x) AS xl, max(x) AS xh, count(*) AS size, any_value(top) AS top FROM s GROUP BY file_id, grp),
+    b AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY size DESC, lo) AS k FROM l)
+    SELECT b.file_id, round(CASE WHEN abs((xl + xh) / 2) < 0.35 AND z.hits >= b.top THEN 0.0 ELSE (xl + xh) / 2 END, 6) AS "offset" FROM b JOIN a z ON z.file_id = b.file_id AND z.i = 0 WHERE k = 1""")
+def refined_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The offset near none that lays most of a track's starts on those of the same track, moved by 0 to 1.2 s."""
+    c = _near(spark, sf_dir).select("file_id", "idx", (F.col("start_ms") / 1000 + (F.col("idx") * 7 % 13) * 0.09).alias("t"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        file = int(pdf["file_id"].iloc[0])
+        sub = np.sort(pdf.loc[pdf["idx"] % 6 > 0, "t"].to_numpy() + file % 5 * 0.3)
+        return pd.DataFrame({"file_id": [file], "offset": [round(reference.refine_offset(np.sort(pdf["t"].to_numpy()), sub, 0.0), 6)]})
+
+    return c.groupBy("file_id").applyInPandas(run, "file_id long, offset double")
+
+
+@query("chain_weight", f"""{_NEAR},
+    p AS (SELECT file_id, k, (idx * 37 % 400) AS a, (idx * 37 % 400) + 5 + idx % 90 AS z FROM n),
+    r AS (
+        SELECT file_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(z BIGINT, w BIGINT)[]) AS seen FROM (SELECT DISTINCT file_id FROM p)
+        UNION ALL SELECT p.file_id, p.k, list_append(seen, {{'z': p.z, 'w': least(p.z - p.a, 80) + coalesce(list_max(list_transform(list_filter(seen, lambda x: x.z <= p.a), lambda x: x.w)), 0)}}) FROM r JOIN p ON p.file_id = r.file_id AND p.k = r.k + 1)
+    SELECT file_id, list_max(list_transform(seen, lambda x: x.w)) AS weight FROM r QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY k DESC) = 1""")
+def chain_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of the heaviest chain of each file's cues over places of a text."""
+    from weftline.operators.matching import monotone_chain
+
+    c = _near(spark, sf_dir).select("file_id", "k", (F.col("idx") * 37 % 400).alias("a"), (F.col("idx") * 37 % 400 + 5 + F.col("idx") % 90).alias("z"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = pdf.sort_values("k")[["k", "a", "z"]].to_numpy()
+        chain = spans[monotone_chain(spans)]
+        if any(b[0] <= a[0] or b[1] < a[2] for a, b in zip(chain, chain[1:])):
+            raise ValueError("a chain out of order")
+        return pd.DataFrame({"file_id": [pdf["file_id"].iloc[0]], "weight": [int(np.minimum(chain[:, 2] - chain[:, 1], 80).sum())]})
+
+    return c.groupBy("file_id").applyInPandas(run, "file_id long, weight long")
+
+
+_STRETCHES = """e AS (SELECT p_partkey, p_name AS needle, lower(p_type) || ' ' || replace(replace(p_name, 'e', 'a'), 'll', 'l') || lower(p_brand) AS hay, length(p_name) AS n FROM part),
+    j AS (SELECT *, unnest(range(1, length(hay) + 1)) AS z FROM e), i AS (SELECT *, unnest(range(z + 1)) AS a FROM j),
+    c AS (SELECT *, levenshtein(needle, hay[a + 1 : z]) AS cost, z - a AS size, z - a > n AS over, abs(z - a - n) AS off FROM i)"""
+
+
+def _stretches(spark: SparkSession, sf_dir: str, found, schema: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("needle"), F.concat(F.lower("p_type"), F.lit(" "), F.replace(F.replace("p_name", F.lit("e"), F.lit("a")), F.lit("ll"), F.lit("l")), F.lower("p_brand")).alias("hay"))
+
+    def run(batches):
+        for b in batches:
+            rows = [(k, *got) for k, n, h in zip(b["p_partkey"], b["needle"], b["hay"], strict=True) if (got := found(n, h))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return p.mapInPandas(run, schema)
+
+
+@query("nearest_stretch", f"""WITH {_STRETCHES},
+    b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_partkey, z ORDER BY cost, over, off) = 1),
+    d AS (SELECT *, round(1 - cost / greatest(n, size), 9) AS likeness FROM b WHERE size BETWEEN greatest(1, (n + 1) // 2) AND 2 * n),
+    t AS (SELECT p_partkey, z FROM d QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY likeness DESC, over, off, z) = 1),
+    f AS (SELECT c.*, round(1 - cost / greatest(n, size), 9) AS likeness FROM c JOIN t USING (p_partkey, z) WHERE size BETWEEN greatest(1, (n + 1) // 2) AND 2 * n)
+    SELECT p_partkey, CAST(a AS INTEGER) AS first, CAST(z AS INTEGER) AS past, likeness FROM f QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY likeness DESC, over, off) = 1""")
+def nearest_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stretch of each part's misspelt description that is nearest to its name."""
+
+    def found(needle: str, hay: str) -> tuple:
+        a, z, like = book.best_span(needle, hay)
+        return a, z, round(like, 9)
+
+    return _stretches(spark, sf_dir, found, "p_partkey long, first int, past int, likeness double")
+
+
+@query("approximate_places", f"""WITH {_STRETCHES},
+    b AS (SELECT p_partkey, z, min(cost) AS cost, arg_min(a, (cost, -a)) AS a FROM c GROUP BY p_partkey, z),
+    w AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY cost, z) AS best FROM b WHERE cost <= 2)
+    SELECT p_partkey, CAST(a AS INTEGER) AS first, CAST(z AS INTEGER) AS past, CAST(cost AS INTEGER) AS edits FROM w WHERE best = 1""")
+def approximate_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the name stands in it with at most two edits."""
+    from weftline.operators.matching import sellers
+
+    return _stretches(spark, sf_dir, lambda needle, hay: sellers(needle, hay, 2), "p_partkey long, first int, past int, edits int")
+
+
+@query("free_edges", r"""
+    WITH e AS (SELECT p_partkey, p_name AS needle, replace(replace(p_name, 'e', 'a'), 'll', 'l') || ' ' || lower(p_type) AS t FROM part),
+    k AS (SELECT *, unnest(range(0, greatest(0, length(t) - greatest(1, (length(needle) + 1) // 2)) + 1)) AS k FROM e),
+    o AS (SELECT *, levenshtein(needle, left(t, CAST(length(t) - k AS BIGINT))) <= levenshtein(needle, t) AS from_end, levenshtein(needle, substr(t, CAST(k + 1 AS BIGINT))) <= levenshtein(needle, t) AS from_start FROM k)
+    SELECT p_partkey, string_agg(k, ',' ORDER BY k) FILTER (from_end) AS at_end, string_agg(k, ',' ORDER BY k) FILTER (from_start) AS at_start FROM o GROUP BY p_partkey""")
+def free_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many characters a misspelt description gives up at either side without being farther from the part's name."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("needle"), F.concat(F.replace(F.replace("p_name", F.lit("e"), F.lit("a")), F.lit("ll"), F.lit("l")), F.lit(" "), F.lower("p_type")).alias("t"))
+
+    def run(batches):
+        for b in batches:
+            line = lambda n, t, end: ",".join(map(str, book.tied_shrinks(n, t, end)))
+            yield pd.DataFrame({"p_partkey": b["p_partkey"], "at_end": [line(n, t, True) for n, t in zip(b["needle"], b["t"], strict=True)], "at_start": [line(n, t, False) for n, t in zip(b["needle"], b["t"], strict=True)]})
+
+    return p.mapInPandas(run, "p_partkey long, at_end string, at_start string")
+
+
+@query("book_slices", r"""
+    WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS t, list_filter(range(1, length(coalesce(text, '')) + 1), lambda i: regexp_full_match(substr(text, i, 1), '[0-9A-Za-z]')) AS pos FROM conversations),
+    s AS (SELECT *, len(pos) // 3 AS a, len(pos) * 2 // 3 AS z FROM t WHERE len(pos) * 2 // 3 > len(pos) // 3),
+    c AS (SELECT *, pos[a + 1] AS lo, pos[z] AS hi FROM s),
+    w AS (SELECT conv_id, turn, substr(t, lo, hi - lo + 1) || regexp_extract(substr(t, hi + 1), '^[。！？!?…‥．.」』）)】〕》〉"”’、，,;；:：—]*') AS x FROM c)
+    SELECT conv_id, turn, trim(regexp_replace(x, '\s+', ' ', 'g')) AS slice FROM w""")
+def book_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The middle third of each turn's letters in the turn's own words, with the marks behind it."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for conv, turn, text in zip(b["conv_id"], b["turn"], b["text"], strict=True):
+                own = book.Book([text or ""])
+                n = len(own.text)
+                if n * 2 // 3 > n // 3:
+                    rows.append((conv, turn, own.source(book.Match(n // 3, n * 2 // 3, 1.0))))
+            yield pd.DataFrame(rows, columns=["conv_id", "turn", "slice"])
+
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").mapInPandas(run, "conv_id long, turn long, slice string")
+
+
+@query("fit_verdicts", """
+    WITH f AS (SELECT event_id, event_id % 40 AS n, (event_id % 17) / 20 AS score, (event_id % 5 + 1) / 10 AS chance, CASE WHEN event_id % 11 = 0 THEN 1.0 ELSE (event_id % 7) / 10 END AS floor, (event_id % 4) * 50.0 AS unchecked FROM events)
+    SELECT event_id, CASE WHEN n < 5 THEN 'tooFew' WHEN floor >= 1 THEN 'notMeasurable' WHEN score <= floor THEN 'doesNotHold' WHEN score / chance < 1.5 THEN 'weak' WHEN unchecked >= 120 THEN 'partialCoverage' WHEN score / chance < 2.5 THEN 'uncertain' ELSE 'accepted' END AS verdict FROM f""")
+def fit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fits of all kinds of scores are judged to be."""
+
+    def run(batches):
+        for b in batches:
+            fit = lambda i: reference.Fit(score=i % 17 / 20, chance=(i % 5 + 1) / 10, floor=1.0 if i % 11 == 0 else i % 7 / 10, n=i % 40, unchecked=i % 4 * 50.0)
+            yield pd.DataFrame({"event_id": b["event_id"], "verdict": [reference.judge(fit(int(i))) for i in b["event_id"]]})
+
+    return table(spark, sf_dir, "events").select("event_id").mapInPandas(run, "event_id long, verdict string")
+
+
+@query("track_groups", f"""{_NEAR},
+    u AS (SELECT file_id, j, s / 1000.0 + (idx * 7 % 13) * 0.09 + CASE WHEN j % 2 = 1 THEN 0.9 ELSE 0.1 END * (j // 2) AS t FROM n, range(5) x(j) WHERE idx % (j + 4) > 0),
+    size AS (SELECT file_id, j, count(*) AS n, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, j) AS o FROM u GROUP BY file_id, j),
+    h AS (SELECT a.file_id, a.j AS a, b.j AS b, a.t, min(abs(a.t - b.t)) <= 0.35 AS hit FROM u a JOIN u b ON a.file_id = b.file_id GROUP BY a.file_id, a.j, b.j, a.t),
+    m AS (SELECT file_id, a, b, avg(CAST(hit AS INTEGER)) >= 0.85 AS same FROM h GROUP BY file_id, a, b),
+    r AS (
+        SELECT file_id, CAST(0 AS BIGINT) AS o, CAST([] AS BIGINT[]) AS heads, CAST(NULL AS BIGINT) AS j, CAST(NULL AS BIGINT) AS grp FROM (SELECT DISTINCT file_id FROM u)
+        UNION ALL SELECT s.file_id, s.o, CASE WHEN g IS NULL THEN list_append(heads, s.j) ELSE heads END, s.j, coalesce(g, len(heads) + 1)
+        FROM r JOIN size s ON s.file_id = r.file_id AND s.o = r.o + 1 JOIN (SELECT x.file_id, x.b AS j, list(x.a) AS like_me FROM m x JOIN m y ON x.file_id = y.file_id AND x.a = y.b AND x.b = y.a WHERE x.same AND y.same GROUP BY x.file_id, x.b) l ON l.file_id = s.file_id AND l.j = s.j,
+            LATERAL (SELECT list_min(list_filter(range(1, len(heads) + 1), lambda i: list_contains(like_me, heads[i]))) AS g))
+    SELECT file_id, CAST(j AS INTEGER) AS track, CAST(grp - 1 AS INTEGER) AS grp FROM r WHERE j IS NOT NULL""")
+def track_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five tracks made of each file's starts, some moved, in groups of one timing."""
+    c = _near(spark, sf_dir).select("file_id", "idx", (F.col("start_ms") / 1000 + (F.col("idx") * 7 % 13) * 0.09).alias("t"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        t, idx = pdf["t"].to_numpy(), pdf["idx"].to_numpy()
+        tracks = [np.sort(t[idx % (j + 4) > 0] + (0.9 if j % 2 else 0.1) * (j // 2)) for j in range(5)]
+        return pd.DataFrame([(pdf["file_id"].iloc[0], j, g) for g, members in enumerate(reference.group_tracks(tracks)) for j in members], columns=["file_id", "track", "grp"])
+
+    return c.groupBy("file_id").applyInPandas(run, "file_id long, track int, grp int")
+
+
+@query("encode_characters", """
+    WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS c, unnest(range(length(p_name))) AS place FROM part)
+    SELECT p_partkey, CAST(place AS INTEGER) AS place, CAST(ascii(c) - 96 AS INTEGER) AS id FROM c WHERE c BETWEEN 'a' AND 'z' AND c <> 'e'""")
+def encode_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters of parts' names as ids of a table in which e is special."""
+    letters = spark.range(1, 27).select(F.col("id").cast("int").alias("id"), F.char(F.col("id") + 96).alias("token"), (F.col("id") == 5).alias("is_special"))
+    return decode.encode_text(table(spark, sf_dir, "part"), "p_partkey", "p_name", letters).select("p_partkey", F.col("at").alias("place"), "id")
+
+
+@query("energy_speech", f"""{_NEAR.replace(" RECURSIVE", "")},
+    w AS (SELECT file_id, k * 5 + j AS i, CAST(-70 + (CAST(trunc(value * 7) AS BIGINT) + j * 13) % 60 AS DOUBLE) AS db FROM n, range(5) t(j)),
+    p AS (SELECT *, list_sort(list(db) OVER (PARTITION BY file_id ORDER BY i ROWS BETWEEN 92 PRECEDING AND CURRENT ROW)) AS past FROM w),
+    l AS (SELECT *, least(-30.0, greatest(-55.0, past[1 + CAST(floor((len(past) - 1) / 10 + 0.5) AS BIGINT)] + 12)) AS lim FROM p)
+    SELECT file_id, i AS window_no, round(1 / (1 + exp(-(db - lim) / 2)), 6) AS prob FROM l""")
+def energy_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely each window of a file is speech by its level against the levels of the last 3 s; five windows a cue."""
+    c = _near(spark, sf_dir).select("file_id", "k", "value", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("j"))
+    w = c.select("file_id", (F.col("k") * 5 + F.col("j")).alias("window_no"), (-70 + ((F.col("value") * 7).cast("int") + F.col("j") * 13) % 60).cast("double").alias("db"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("window_no")
+        return pdf.assign(prob=segment.energy_probabilities(pdf["db"].to_numpy(), 3.0).round(6))[["file_id", "window_no", "prob"]]
+
+    return w.groupBy("file_id").applyInPandas(run, "file_id long, window_no long, prob double")
+
+
+@query("given_segments", r"""
+    WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w, turn * 4000 AS s, turn * 4000 + 5000 AS e, CASE WHEN turn % 3 = 0 THEN turn * 3900 END AS rs, CASE WHEN turn % 3 = 1 THEN turn * 4000 + 4200 END AS re FROM conversations),
+    c AS (SELECT *, coalesce(rs, s) AS a, coalesce(re, e) AS z FROM t WHERE len(w) > 0)
+    SELECT conv_id AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY a, z) - 1 AS idx, a AS start_ms, z AS end_ms, array_to_string(w, ' ') AS text, array_to_string(list_transform(range(len(w)), lambda i: greatest(0, s + i * 10 - a)), ',') AS offsets FROM c""")
+def given_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as segments given from outside, some with bounds of their speech, that overlap: one cue each, at those times."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), "turn", F.transform(F.filter(F.split("text", r"\s+"), lambda x: x != ""), lambda x: F.concat(F.lit("▁"), x)).alias("tokens"))
+    turn = F.col("turn")
+    segments = t.select(
+        "file_id", (turn * 4000).alias("start_ms"), (turn * 4000 + 5000).alias("end_ms"), F.when(turn % 3 == 0, turn * 3900).alias("raw_start_ms"), F.when(turn % 3 == 1, turn * 4000 + 4200).alias("raw_end_ms"),
+        "tokens", F.transform("tokens", lambda x, i: turn * 4000 + i * 10).alias("times"),
+    )
+    return cuebuild.build_files(segments, cuebuild.one_per_segment).withColumn("offsets", F.array_join(F.transform("offsets", lambda x: x.cast("string")), ","))
+
+
+@query("grid_segments", r"""
+    WITH t AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[:36] AS w FROM conversations),
+    i AS (SELECT conv_id, turn, unnest(w) AS x, unnest(range(len(w))) AS i FROM t), m AS (SELECT *, turn * 20000 + i * 500 + CASE WHEN i % 5 = 0 THEN 400 ELSE 0 END AS t FROM i),
+    n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY conv_id ORDER BY turn, i) <= 680 THEN 0 ELSE 1 END AS new FROM m),
+    g AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn, i) AS g FROM n),
+    b AS (SELECT conv_id, min(turn) * 20000 AS low, (max(turn) + 1) * 20000 AS high FROM t GROUP BY conv_id),
+    s AS (SELECT conv_id, g, min(t) AS a, max(t) AS z, string_agg(x, ' ' ORDER BY turn, i) AS words FROM g GROUP BY conv_id, g)
+    SELECT conv_id AS file_id, greatest(low, a - 120) AS start_ms, least(high, z + 400, coalesce(lead(a) OVER (PARTITION BY conv_id ORDER BY g) - 120, high)) AS end_ms, words FROM s JOIN b USING (conv_id)""")
+def grid_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as windows of a grid that touch, cut anew where their words pause."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file_id"), "turn", F.slice(F.filter(F.split("text", r"\s+"), lambda x: x != ""), 1, 36).alias("tokens"))
+    t = t.withColumn("times", F.transform("tokens", lambda x, i: F.col("turn") * 20_000 + i * 500 + F.when(i % 5 == 0, 400).otherwise(0)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        segments = [{"start": k * 20_000, "end": (k + 1) * 20_000, "tokens": list(w), "times": [int(x) for x in at], "continuous": True} for k, w, at in zip(pdf["turn"], pdf["tokens"], pdf["times"], strict=True)]
+        return pd.DataFrame([(pdf["file_id"].iloc[0], s["start"], s["end"], " ".join(s["tokens"])) for s in cuebuild.resplit(segments)], columns=["file_id", "start_ms", "end_ms", "words"])
+
+    return t.groupBy("file_id").applyInPandas(run, "file_id long, start_ms long, end_ms long, words string")

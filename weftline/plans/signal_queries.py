@@ -196,21 +196,11 @@ def timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("ms", FM.stamp_ms(F.col("stamp"))).withColumn("again", FM.format_like(F.col("ms"), F.col("stamp")))
 
 
-@query("speaker_cues", r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(left(text, 40), '[\[\]]', '', 'g') AS text FROM conversations)
+@query("speaker_cues", r"""WITH t AS (SELECT conv_id, turn, role, regexp_replace(text, '[\[\]]', '', 'g') AS text FROM conversations)
     SELECT conv_id, turn * 5000 + 500 AS start_ms, turn * 5000 + 2500 AS end_ms, conv_id || ':S0' || (turn % 2) AS speaker, trim(text) AS text FROM t WHERE trim(text) <> ''""")
 def speaker_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns written as a raw speaker stream per conversation, read back as cues."""
-    return _speaker_stream(spark, sf_dir, F.substring("text", 1, 40))
-
-
-@query("speaker_cues_whole")
-def speaker_cues_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole turns; speaker_cues, as its SQL has it, takes their first 40 characters."""
-    return _speaker_stream(spark, sf_dir, F.col("text"))
-
-
-def _speaker_stream(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
-    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(text, r"[\[\]]", "").alias("text"))
+    t = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[\[\]]", "").alias("text"))
     part = F.concat(F.lit("["), F.format_string("%d.50", F.col("turn") * 5), F.lit("][S0"), (F.col("turn") % 2).cast("string"), F.lit("]"), "text", F.lit("["), F.format_string("%d.50", F.col("turn") * 5 + 2), F.lit("]"))
     raw = t.select("conv_id", "turn", part.alias("p")).groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("turn", "p")))["p"], "").alias("raw"))
     return FM.parse_speaker_stream(raw, ["conv_id"], "raw", F.col("conv_id"))
@@ -235,7 +225,12 @@ def duration_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", FM.probe_ms(text).alias("probe_ms"), FM.banner_ms(banner).alias("banner_ms"))
 
 
-@query("html_sections")
+@query("html_sections", r"""
+    WITH h AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '(?s)<head>.*?</head>', '', 'g'), '(?s)<nav>.*?</nav>', '', 'g'), '<![A-Za-z][^>]*>', '', 'g') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(t, '</?(article|body|br|div|footer|h1|li|p|ul)( [^>]*)?>', chr(1), 'g'), '</?[a-z][^>]*>', '', 'g') AS t FROM h),
+    l AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(t, '^\x01+', ''), '\n\x01+', chr(10), 'g'), '\x01+', chr(10), 'g') AS t FROM b),
+    e AS (SELECT page_id, replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS t FROM l)
+    SELECT page_id, CAST(length(t) AS INTEGER) AS chars, md5(t) AS text_md5, 0 AS rubies FROM e""")
 def html_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and ruby of each page's markup."""
     from weftline.sources.books import sections_of_html

@@ -157,21 +157,13 @@ def passage_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "passage_dice",
-    """WITH g AS (SELECT item_id, unnest(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS INTEGER), 2))) AS g FROM (SELECT item_id, left(lower(text), 60) AS t FROM benchmark)),
+    """WITH g AS (SELECT item_id, unnest(list_transform(range(1, length(t)), lambda i: substr(t, CAST(i AS INTEGER), 2))) AS g FROM (SELECT item_id, lower(text) AS t FROM benchmark)),
         c AS (SELECT item_id, g, count(*) AS n FROM g GROUP BY ALL), s AS (SELECT item_id, sum(n) AS total FROM c GROUP BY ALL)
         SELECT x.item_id AS a, y.item_id AS b, CAST(sum(least(x.n, y.n)) AS BIGINT) AS shared, round(2 * sum(least(x.n, y.n)) / (max(sx.total) + max(sy.total)), 9) AS dice
         FROM c x JOIN c y ON x.g = y.g AND x.item_id < y.item_id JOIN s sx ON sx.item_id = x.item_id JOIN s sy ON sy.item_id = y.item_id GROUP BY ALL HAVING 2 * sum(least(x.n, y.n)) >= 0.5 * (max(sx.total) + max(sy.total))""",
 )
 def passage_dice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weftline.operators.matching import bigram_dice
-
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.lower("text"), 1, 60).alias("t"))
-    return bigram_dice(items, "item_id", "t", 0.5)
-
-
-@query("passage_dice_whole")
-def passage_dice_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dice of whole items; passage_dice, as its SQL has it, compares their first 60 characters."""
+    """Dice of whole items."""
     from weftline.operators.matching import bigram_dice
 
     return bigram_dice(table(spark, sf_dir, "benchmark").select("item_id", F.lower("text").alias("t")), "item_id", "t", 0.5)
