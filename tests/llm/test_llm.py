@@ -576,6 +576,34 @@ def test_exact_copies(spark, files):
     assert dedup.exact_duplicates(odd(spark).limit(0))[0].count() == 0
 
 
+def test_a_broken_run_is_resumed(spark, monkeypatch, tmp_path):
+    """A stream that fails in its second micro-batch goes on from there when called again with its folder."""
+    docs = docs_of(spark, [(k, f"text {k % 40}") for k in range(200)]).repartition(4)
+    folder, real, seen = f"file://{tmp_path}/state", dedup.stream_groups, []
+
+    def broken(path, schema, scratch, files):
+        write = scratch.spark.createDataFrame([], schema).write.__class__.parquet
+
+        def put(self, out, *a, **k):
+            if "batch=" in out:
+                seen.append(out.rpartition("=")[2])
+                if len(seen) == 3:  # the empty one, the first, the second
+                    raise OSError("lost")
+            return write(self, out, *a, **k)
+
+        monkeypatch.setattr("pyspark.sql.readwriter.DataFrameWriter.parquet", put)
+        return real(path, schema, scratch, files)
+
+    monkeypatch.setattr(dedup, "stream_groups", broken)
+    with pytest.raises(Exception, match="lost"):
+        dedup.exact_duplicates(docs, files_per_batch=1, folder=folder)
+    first = list(seen)
+    rows, _ = dedup.exact_duplicates(docs, files_per_batch=1, folder=folder)
+    out = {r["doc_id"]: (r["keep"]["doc_id"], r["group_size"], r["kept"]) for r in rows.collect()}
+    assert out == {k: (160 + k % 40, 5, k >= 160) for k in range(200)}
+    assert first == ["-1", "0", "1"] and "0" not in seen[len(first) :] and "1" in seen[len(first) :]
+
+
 def test_digest_collisions_are_told_apart(spark, monkeypatch):
     """With a digest of one byte, groups still are those of equal bytes."""
     monkeypatch.setattr(dedup.F, "sha2", lambda c, n, f=F.sha2: F.substring(f(c, n), 1, 2))
@@ -795,6 +823,39 @@ def test_query_matches_sql(spark, name):
     assert sorted(tuple(map(str, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(str, r)) for r in want.select(', '.join(cols)).fetchall())
 
 
+def test_pipeline_goes_by_rows(spark, tmp_path):
+    """Nulls, repeats and shared ids: no clean text is lost, no copy or leak stays; an empty table gives an empty result."""
+    import pyarrow.parquet as pq
+
+    import corpus_pipeline
+
+    rnd = random.Random(2)
+    clean = [" ".join(f"word{rnd.randrange(900)}" for _ in range(60)) for _ in range(6)]
+    item = " ".join(f"item{k}" for k in range(15))
+    rows = [(1, clean[0]), (1, clean[1]), (2, clean[0]), (None, clean[2]), (None, clean[3] + " " + item), (None, clean[2] + " more"), (3, clean[4]), (3, clean[4]), (3, clean[4] + " x"), (4, None), (None, None), (5, clean[5])]
+    monkey = corpus_pipeline.STAGES[0]
+    corpus_pipeline.STAGES[0] = ("quality", lambda spark, docs, sf_dir: docs)
+    try:
+        for name, table in (("some", rows), ("none", [])):
+            folder = tmp_path / name
+            folder.mkdir()
+            pq.write_table(pa.table({"doc_id": pa.array([i for i, _ in table], pa.int64()), "text": pa.array([t for _, t in table], pa.string()), "lang": pa.array(["en"] * len(table), pa.string()), "source": pa.array(["s"] * len(table), pa.string()), "n_chars": pa.array([0] * len(table), pa.int64())}), folder / "documents.parquet")
+            pq.write_table(pa.table({"item_id": pa.array([1], pa.int64()), "text": [item]}), folder / "benchmark.parquet")
+            pq.write_table(pa.table({"doc_id": pa.array([], pa.int64()), "quality": pa.array([], pa.int32())}), folder / "labels.parquet")
+            out = corpus_pipeline.run(spark, str(folder)).collect()
+            digest = lambda x: hashlib.sha256(reference_tokenizer().decode(reference_tokenizer().encode(x, add_special_tokens=False).ids, skip_special_tokens=False).encode()).hexdigest()  # noqa: E731, B023
+            kept = sorted(((r["doc_id"], r["decoded_sha256"]) for r in out), key=str)
+            # of equal texts the row with the largest id stays, of near copies that with the smallest, null last
+            want = [(1, clean[1]), (2, clean[0]), (3, clean[4]), (4, ""), (5, clean[5])]
+            if name == "none":
+                assert kept == []
+                continue
+            assert {(i, h) for i, h in kept if i is not None} in ({(i, digest(x)) for i, x in want}, {(i, digest(x)) for i, x in want[:2] + [(3, clean[4] + " x")] + want[3:]})
+            assert [h for i, h in kept if i is None] in ([digest(clean[2])], [digest(clean[2] + " more")])
+    finally:
+        corpus_pipeline.STAGES[0] = monkey
+
+
 def test_pipeline_against_plain_version(spark):
     import corpus_pipeline
 
@@ -812,6 +873,8 @@ def test_pipeline_against_plain_version(spark):
     rows = [(i, t) for i, t in rows if not any(u in t for _, u in items)]
     t = reference_tokenizer()
     want = {i: t.encode(x, add_special_tokens=False).ids for i, x in rows}
-    got = {r["doc_id"]: r["token_ids"] for r in corpus_pipeline.run(spark, SF).collect()}
+    out = corpus_pipeline.run(spark, SF).collect()
+    got = {r["doc_id"]: r["token_ids"] for r in out}
     assert got == want
+    assert all(r["decoded_sha256"] == hashlib.sha256(t.decode(r["token_ids"], skip_special_tokens=False).encode()).hexdigest() for r in out)
     assert json.dumps([n for n, _ in corpus_pipeline.STAGES]) == '["quality", "exact_dedup", "near_dedup", "decontaminate", "bpe"]'
