@@ -230,6 +230,19 @@ def test_every_further_kind_can_stay():
     pii.find_spans("AB12 CDEF " * 30_000)
 
 
+def test_secrets():
+    found = lambda t: [(k, t[a:z]) for a, k, z, _ in pii.find_spans(t)]
+    key, value = "AKIA" + "Q7ZK2M4PX9LT3W8B", "69760a67bd64a3a7e9ecd68a"
+    assert found(f"use {key} for it") == [("accesskey", key)] and found(f"x{key}") == [] and found(f"{key}7") == []
+    for t in (f"password={value} and", f'token = "{value}" x', f"API_KEY: '{value}'", f"my Secret:{value}"):
+        assert found(t) == [("secret", value)], t
+    for t in ("password=password", "token: 11111111", "secret = aaaaaaaa1", "the password is long", "pwd=a1b2", f"mytoken={value}", "password example: page1page"):
+        assert found(t) == [], t
+    assert pii.entropy("ab") == 1 and pii.entropy("aaaa") == 0
+    for t in ("password=" * 30_000, "token=" + "a1" * 200_000, "IA" * 200_000):
+        pii.find_spans(t)
+
+
 def test_pii_odd_rows(spark):
     out = pii.find_personal_data(odd(spark)).collect()
     assert len(out) == len(ODD) and {r["spans"] for r in out} == {""}

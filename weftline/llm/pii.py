@@ -4,8 +4,9 @@ Two groups of kinds. *Base* kinds (email, ip, card, phone) are taken as leftmost
 non-overlapping matches of a fixed pattern, confirmed by a fixed test (parts at
 most 255; 14 to 19 digits passing Luhn; 10 to 15 digits); a match that fails is
 dropped and not tried again. Their spans always stay, with a score. *Further*
-kinds (iban by mod 97, ssn by its forbidden ranges, card13 by Luhn, localphone)
-stay if their score, after words nearby have moved it, reaches the threshold. A
+kinds (iban by mod 97, ssn by its forbidden ranges, card13 by Luhn, localphone, and
+secrets: accesskey by its form, secret, a value given to a name like password or
+token, by its digits and entropy) stay if their score, after words nearby have moved it, reaches the threshold. A
 localphone that is part of a phone is that phone and no span of its own. An iban
 may be followed by capital words; a match that fails is tried again without them.
 
@@ -19,8 +20,10 @@ are searched each; a null doc_id is kept. Empty input, empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from .common import small_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "card13", "localphone")
+KINDS = (*BASE, "iban", "ssn", "card13", "localphone", "accesskey", "secret")
 
 _AFTER_AT = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,6 +42,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
 _LOCALPHONE = re.compile(r"(?<![0-9+(.-])\(?[0-9]{3,4}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
+_ACCESSKEY = re.compile(r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])")
+_SECRET = re.compile(r"(?<![A-Za-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?([A-Za-z0-9+/_.~=-]{8,}+)", re.IGNORECASE)
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,7 +56,7 @@ IBAN_CHARS = {
     )
     for c in countries.split()
 }
-START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "card13": 0.4, "localphone": 0.4}
+START = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "ssn": 0.4, "card13": 0.4, "localphone": 0.4, "accesskey": 0.9, "secret": 0.8}
 # Whole words, all within WINDOW characters of a span, that speak for the kind, by kind.
 FOR = {
     "email": ("mail", "email", "contact", "write", "correo", "kontakt"),
@@ -63,8 +68,11 @@ FOR = {
     "card13": ("card", "visa", "credit", "payment", "karte", "tarjeta", "carte"),
     "localphone": ("phone", "telephone", "call", "tel", "mobile", "cell", "fax", "telefon", "teléfono", "téléphone"),
 }
+FOR |= {k: ("key", "access", "aws", "credential", "credentials", "login", "passwort", "contraseña") for k in ("accesskey", "secret")}
 AGAINST = ("version", "isbn", "order", "page", "figure", "example")
 WINDOW, LIFT, DROP, THRESHOLD = 40, 0.35, 0.25, 0.7
+#: Least entropy of a secret, in bits a character.
+RANDOM = 2.5
 
 
 def luhn(digits: str) -> bool:
@@ -82,6 +90,11 @@ def mod97(iban: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def entropy(value: str) -> float:
+    """Bits a character, by the value's own characters."""
+    return -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
+
+
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
     """Of each match the confirmed beginning that ends with it or before a space: one of the country's length, else the longest. Where there is none the search goes on behind its first letter."""
     m = _IBAN.search(text)
@@ -140,6 +153,10 @@ def more_spans(text: str) -> list[tuple[int, str, int]]:
             out += [(m.start(), "ssn", m.end()) for m in _SSN.finditer(text) if m[1] not in ("000", "666") and m[1] < "900" and m[2] != "00" and m[3] != "0000"]
         out += [(m.start(), "card13", m.end()) for m in _CARD.finditer(text) if 13 <= m.end() - m.start() <= 25 and len(d := _digits(m[0])) == 13 and luhn(d)]
         out += [(m.start(), "localphone", m.end()) for m in _LOCALPHONE.finditer(text)]
+        if "=" in text or ":" in text:
+            out += [(m.start(1), "secret", m.end(1)) for m in _SECRET.finditer(text) if _DIGIT.search(m[1]) and entropy(m[1]) >= RANDOM]
+    if "IA" in text:
+        out += [(m.start(), "accesskey", m.end()) for m in _ACCESSKEY.finditer(text)]
     return out
 
 
