@@ -267,7 +267,8 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     Ids are put in a random order (xxhash64 of a long is one to one), in which runs
     of falling neighbours are short. Each turn every id takes the name of its least
     neighbour, or that one's; edges are renamed, and those inside one name go. The
-    edges left shrink by a factor with each turn; each turn's tables are written.
+    edges left shrink by a factor with each turn. Tables that others are joined to by
+    a name are written first, so that Spark can split the rows of a hot name.
     """
     links = links.where("a <> b").select("a", "b")
     x, y = F.xxhash64("a"), F.xxhash64("b")
@@ -277,17 +278,18 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     turn = 0
     while edges.limit(1).count():
         turn += 1
-        near = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("y")).select("x", F.least("x", "y").alias("up"))
+        near = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("y"))
+        near = scratch.keep(near.select("x", F.least("x", "y").alias("up")), f"{name}-near{turn}")
         above = near.select(F.col("x").alias("up"), F.col("up").alias("top"))  # a name is an end of an edge too, so it has a row
         up = scratch.keep(near.join(above, "up").select("x", "top"), f"{name}-up{turn}")
         other = up.select(F.col("x").alias("y"), F.col("top").alias("end"))
         less = edges.join(up, "x").join(other, "y").where("top <> end").select(F.least("top", "end").alias("x"), F.greatest("top", "end").alias("y")).distinct()
         edges = scratch.keep(less, f"{name}-edges{turn}")
-        scratch.drop(f"{name}-edges{turn - 1}")
+        scratch.drop(f"{name}-edges{turn - 1}", f"{name}-near{turn}")
         named = named.join(up, named.now == up.x, "left").select("id", F.coalesce("top", "now").alias("now"))
-    least = named.groupBy("now").agg(F.min("id").alias("component"))
+    least = scratch.keep(named.groupBy("now").agg(F.min("id").alias("component")), f"{name}-least")
     out = scratch.keep(named.join(least, "now").select("id", "component"), f"{name}-components")
-    scratch.drop(*(f"{name}-up{k + 1}" for k in range(turn)), f"{name}-edges{turn}")
+    scratch.drop(*(f"{name}-up{k + 1}" for k in range(turn)), f"{name}-edges{turn}", f"{name}-least")
     return out
 
 
@@ -368,25 +370,26 @@ def near_duplicates(documents: DataFrame, percent: int = 75, name: str = "neardu
         ties = keyed.join(keyed.groupBy("doc_id").agg(F.min("key").alias("low")), "doc_id").select(F.col("key").alias("a"), F.col("low").alias("b"))
         named = components(ties.unionByName(named.select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "ids")
     linked = named.join(classes, named.id == classes.key).select("key", "component", "least_id")
-    lowest = linked.groupBy("component").agg(F.min("least_id").alias("component_id"))
+    lowest = scratch.keep(linked.groupBy("component").agg(F.min("least_id").alias("component_id")), "lowest")
     linked = linked.join(lowest, "component").select("key", "component_id")
     each = classes.join(linked, "key", "left").select("d0", "d1", F.coalesce("component_id", "least_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", "d0", "d1").join(each, ["d0", "d1"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     rows = rows.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
     result = scratch.keep(rows, "result")
-    scratch.drop("signed", "classes", "keyed", *(f"{k}-components" for k in ("first", "second", "ids")))
+    scratch.drop("signed", "classes", "keyed", "lowest", *(f"{k}-components" for k in ("first", "second", "ids")))
     return result
 
 
 def near_copies(documents: DataFrame, row: tuple[str, ...], percent: int = 75, name: str = "neardup") -> DataFrame:
-    """The ``row`` columns, which name a row, of all rows but one of each component: the row with the smallest doc_id (null last), then ``row``, is left out."""
+    """The ``row`` columns, which name a row and are not null, of all rows but one of each component: the row with the smallest doc_id (null last), then ``row``, is left out."""
     scratch = Scratch(documents.sparkSession, name)
     signed, classes, named = near_classes(documents.select("doc_id", "text", *row), percent, scratch, extra=row)
     groups = classes.join(named, classes.key == named.id, "left").where("n > 1 or component is not null").select("d0", "d1", F.coalesce("component", "key").alias("component"))
     which = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *row).alias("which")
     rows = scratch.keep(signed.where("n_shingles > 0").join(groups, ["d0", "d1"]).select("component", which), "rows")
-    first = rows.groupBy("component").agg(F.min("which").alias("first"))
-    gone = scratch.keep(rows.join(first, "component").where("which <> first").select("which.*").drop("none", "doc_id"), "gone")
+    first = rows.groupBy("component").agg(F.min("which").alias("which")).select(*(F.col("which").getField(c).alias(c) for c in row))
+    # a row's name is no hot key, as a component would be
+    gone = scratch.keep(rows.select(*(F.col("which").getField(c).alias(c) for c in row)).join(first, list(row), "left_anti"), "gone")
     scratch.drop("signed", "classes", "rows", "first-components", "second-components")
     return gone
