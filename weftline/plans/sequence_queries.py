@@ -726,3 +726,45 @@ def grid_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.DataFrame([(pdf["file_id"].iloc[0], s["start"], s["end"], " ".join(s["tokens"])) for s in cuebuild.resplit(segments)], columns=["file_id", "start_ms", "end_ms", "words"])
 
     return t.groupBy("file_id").applyInPandas(run, "file_id long, start_ms long, end_ms long, words string")
+
+
+@query("book_resegment", r"""
+    WITH RECURSIVE t AS (SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN 'Opening words of book number ' || conv_id || '. ' ELSE '' END || coalesce(text, '') AS t FROM conversations),
+    w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS w FROM t), g AS (SELECT *, unnest(range((len(w) + 3) // 4)) AS g FROM w),
+    n AS (SELECT conv_id, turn, g, length(regexp_replace(array_to_string(w[4 * g + 1 : 4 * g + 4], ' '), '[^0-9A-Za-z]', '', 'g')) AS n FROM g),
+    q AS (SELECT conv_id, sum(n) OVER v - n AS a, sum(n) OVER v AS z, (row_number() OVER v - 1) * 2000 AS s FROM n WINDOW v AS (PARTITION BY conv_id ORDER BY turn, g)),
+    ch AS (SELECT conv_id, turn, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS p FROM t),
+    cu AS (SELECT conv_id, turn, p, regexp_full_match(c, '[0-9A-Za-z]') AS kept, sum(CAST(contains('。！？!?…‥．.' || chr(10), c) AS INTEGER)) OVER (PARTITION BY conv_id, turn ORDER BY p) AS ends FROM ch),
+    k AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p) - 1 AS at_k, coalesce(ends <> lag(ends) OVER (PARTITION BY conv_id, turn ORDER BY p), true) AS stop FROM cu WHERE kept),
+    ti AS (SELECT k.conv_id, at_k, q.s + 1800 * (at_k - q.a) // (q.z - q.a) AS ms, stop FROM k ASOF JOIN (SELECT * FROM q WHERE z > a) q ON q.conv_id = k.conv_id AND at_k >= q.a),
+    hi AS (SELECT conv_id, max(z) AS hi, max(s) + 1800 AS run_end FROM q GROUP BY conv_id),
+    ed AS (SELECT conv_id, at_k AS a, lead(at_k) OVER (PARTITION BY conv_id ORDER BY at_k) AS b, row_number() OVER (PARTITION BY conv_id ORDER BY at_k) AS no FROM ti WHERE stop),
+    sg AS (
+        SELECT ed.conv_id, no, ed.a, coalesce(ed.b, hi) AS b, coalesce(os.s, fa.ms - 150) AS first, coalesce(oe.s + 1800, CASE WHEN ed.b IS NULL THEN run_end ELSE fb.ms - 150 END) AS last, lb.ms + 40 AS least_end, CASE WHEN ed.b IS NULL THEN run_end ELSE 0 END AS most
+        FROM ed JOIN hi ON hi.conv_id = ed.conv_id JOIN ti fa ON fa.conv_id = ed.conv_id AND fa.at_k = ed.a JOIN ti lb ON lb.conv_id = ed.conv_id AND lb.at_k = coalesce(ed.b, hi) - 1
+        LEFT JOIN ti fb ON fb.conv_id = ed.conv_id AND fb.at_k = ed.b LEFT JOIN q os ON os.conv_id = ed.conv_id AND os.a = ed.a AND os.z > os.a LEFT JOIN q oe ON oe.conv_id = ed.conv_id AND oe.z = coalesce(ed.b, hi) AND oe.z > oe.a),
+    r AS (
+        SELECT conv_id, no, a, b, greatest(0, first) AS st, greatest(last, least_end, greatest(0, first) + 300, most) AS en FROM sg WHERE no = 1
+        UNION ALL SELECT s.conv_id, s.no, s.a, s.b, x, greatest(s.last, s.least_end, x + 300, s.most) FROM r JOIN sg s ON s.conv_id = r.conv_id AND s.no = r.no + 1, LATERAL (SELECT greatest(r.en, s.first) AS x))
+    SELECT conv_id AS book_id, CAST(no - 1 AS INTEGER) AS piece, CAST(a AS INTEGER) AS norm_start, CAST(b AS INTEGER) AS norm_end, CAST(st AS BIGINT) AS start_ms, CAST(en AS BIGINT) AS end_ms FROM r""")
+def book_resegment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fours of a book's words, two seconds each, cut anew at the book's sentences."""
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text")))).alias("turns"))
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for conv, turns in zip(batch["conv_id"], batch["turns"], strict=True):
+                texts = [(f"Opening words of book number {conv}. " if k == 0 else "") + t["text"] for k, t in enumerate(turns)]
+                own, cues, at = book.Book(texts), [], 0
+                for text in texts:
+                    words = text.split()
+                    for g in range(0, len(words), 4):
+                        four = " ".join(words[g : g + 4])
+                        n, start = len(book.normalize(four)[0]), len(cues) * 2000
+                        cues.append(book.BookCue(start, start + 1800, four, book.Match(at, at + n, 1.0) if n else None, tuple(start + 1800 * j // n for j in range(n))))
+                        at += n
+                rows += [(conv, k, x.match.start, x.match.end, x.start, x.end) for k, x in enumerate(book.resegment(cues, own)) if x.match]
+            yield pd.DataFrame(rows, columns=["book_id", "piece", "norm_start", "norm_end", "start_ms", "end_ms"])
+
+    return c.mapInPandas(run, "book_id long, piece int, norm_start int, norm_end int, start_ms long, end_ms long")
