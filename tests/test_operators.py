@@ -2,6 +2,7 @@
 
 import io
 import random
+import re
 import zipfile
 
 import numpy as np
@@ -546,3 +547,17 @@ def test_exact_passages_of_any_length(spark):
     items = [(j, t) for j, t in items if t]
     got = sorted((r["item_id"], r["doc_id"], r["at"]) for r in matching.exact_passages(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == sorted((j, i, t.find(u)) for j, u in items for i, t in texts if u in t)
+
+
+@pytest.mark.parametrize("most", [2, 0])
+def test_exact_passages_broadcast_no_texts(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "ITEMS_MB", most)
+    line = "one two three four five six seven"
+    texts = [(1, f"{line} and {line}"), (1, f"so {line}"), (2, "one two three"), (3, None), (4, line[2:])]
+    items = spark.createDataFrame([(5, line[1:-1]), (6, "three")], "item_id long, text string")
+    df = matching.exact_passages(items, spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(tuple, df.collect())) == [(5, 1, 1), (5, 1, 4), (6, 1, 8), (6, 1, 11), (6, 2, 8), (6, 4, 6)]
+    sides = re.findall(r"BroadcastHashJoin.*?Build(Left|Right)", df._jdf.queryExecution().executedPlan().toString())
+    assert bool(sides) == bool(most) and "ResolvedHint" not in df._jdf.queryExecution().optimizedPlan().toString()
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") >= 4 if most else plan.count("strategy=merge") >= 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,18 +11,20 @@ from pyspark.sql import functions as F
 GRAM = 4
 #: Items too short to seed that are compared with all texts at a time.
 SHORT = 500
+#: Most text of items that is broadcast.
+ITEMS_MB = 2
 
 
 def _words(text: str):
     return F.filter(F.split(F.lower(text), r"\s+"), lambda x: x != "")
 
 
-def _grams(df: DataFrame, key: str, n: int = GRAM) -> DataFrame:
-    """(key, at, gram) of all word n-grams, as 64-bit hashes; words are laid beside themselves so that rows stay small."""
-    w = df.select(key, _words("text").alias("w"))
+def _grams(df: DataFrame, key: str, n: int = GRAM, keep: Sequence[str] = ()) -> DataFrame:
+    """(key, at, gram, and the columns to keep) of all word n-grams, as 64-bit hashes; words are laid beside themselves so that rows stay small."""
+    w = df.select(key, *keep, _words("text").alias("w"))
     shifted = F.arrays_zip(*(F.slice("w", k + 1, F.size("w")).alias(f"w{k}") for k in range(n)))
-    rows = w.select(key, F.posexplode(shifted).alias("at", "x")).where(F.col("x").getField(f"w{n - 1}").isNotNull())
-    return rows.select(key, "at", F.xxhash64(*(F.col("x").getField(f"w{k}") for k in range(n))).alias("gram"))
+    rows = w.select(key, *keep, F.posexplode(shifted).alias("at", "x")).where(F.col("x").getField(f"w{n - 1}").isNotNull())
+    return rows.select(key, *keep, "at", F.xxhash64(*(F.col("x").getField(f"w{k}") for k in range(n))).alias("gram"))
 
 
 def gram_votes(items: DataFrame, texts: DataFrame, least: int = 2) -> DataFrame:
@@ -35,22 +39,38 @@ def exact_passages(items: DataFrame, texts: DataFrame) -> DataFrame:
 
     Candidates come from an equi-join on the item's rarest inner word 4-gram
     (words at the item's edges may be cut in the text), then the strings decide.
+    Items of at most ``ITEMS_MB`` in all are broadcast and decided where the text
+    is read; beyond that every join is a shuffle. Texts are never broadcast.
     Items of fewer than six words are too short to seed; they are a query set put
     to all texts in blocks of about ``SHORT`` dealt by hash, each block a broadcast.
     """
+    sized = items.select("item_id", F.col("text").alias("item"), F.size(_words("text")).alias("n"))
+    few, size = sized.agg(F.sum(F.when(F.col("n") < 6, 1).otherwise(0)), F.sum(F.octet_length("item"))).first()
+    small = (size or 0) <= ITEMS_MB << 20
+    side = (lambda df: df.hint("broadcast")) if small else (lambda df: df.hint("merge"))
     grams = _grams(texts, "doc_id").select("doc_id", "gram")
     inner = _grams(items, "item_id").withColumn("last", F.max("at").over(Window.partitionBy("item_id"))).where("at > 0 and at < last")
-    counts = grams.join(inner.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
-    seeds = inner.join(counts, "gram").groupBy("item_id").agg(F.min(F.struct("n", "at", "gram")).alias("s")).select("item_id", F.col("s.gram").alias("gram"))
-    pairs = grams.join(seeds, "gram").select("doc_id", "item_id").distinct()
-    long = pairs.join(items.select("item_id", F.col("text").alias("item")), "item_id").join(texts.select("doc_id", "text"), "doc_id")
-    short = items.select("item_id", F.col("text").alias("item"), F.size(_words("text")).alias("n")).where("n < 6").drop("n")
-    both = long.select("item_id", "doc_id", "text", "item")
-    blocks = -(-short.count() // SHORT)
+    counts = grams.join(side(inner.select("gram").distinct()), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    seeds = counts.join(side(inner), "gram").groupBy("item_id").agg(F.min(F.struct("n", "at", "gram")).alias("s")).select("item_id", F.col("s.gram").alias("gram"))
+    if small:  # the text goes along with its grams as far as the join and no further
+        seeds = seeds.join(side(items.select("item_id", F.col("text").alias("item"))), "item_id")
+        rows = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # texts of one doc_id stay apart
+        long = _grams(rows, "doc_id", keep=["row", "text"]).join(side(seeds), "gram").where(F.expr("contains(text, item)"))
+        both = long.select("row", "item_id", "doc_id", _place().alias("at")).distinct().drop("row")
+    else:
+        pairs = grams.join(side(seeds), "gram").select("doc_id", "item_id").distinct()
+        long = pairs.join(side(items.select("item_id", F.col("text").alias("item"))), "item_id").join(side(texts.select("doc_id", "text")), "doc_id")
+        both = long.select("item_id", "doc_id", _place().alias("at"))
+    blocks = -(-(few or 0) // SHORT)
+    short = sized.where("n < 6").drop("n")
     for k in range(blocks):
         block = F.broadcast(short.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == k))
-        both = both.unionByName(texts.select("doc_id", "text").join(block, F.expr("contains(text, item)")).select("item_id", "doc_id", "text", "item"))
-    return both.select("item_id", "doc_id", (F.expr("instr(text, item)") - 1).cast("long").alias("at")).where("at >= 0")
+        both = both.unionByName(texts.select("doc_id", "text").join(block, F.expr("contains(text, item)")).select("item_id", "doc_id", _place().alias("at")))
+    return both.where("at >= 0")
+
+
+def _place():
+    return (F.expr("instr(text, item)") - 1).cast("long")
 
 
 def bigram_dice(items: DataFrame, key: str, text: str, least: float) -> DataFrame:
