@@ -561,3 +561,15 @@ def test_exact_passages_broadcast_no_texts(spark, monkeypatch, most):
     assert bool(sides) == bool(most) and "ResolvedHint" not in df._jdf.queryExecution().optimizedPlan().toString()
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=broadcast") >= 4 if most else plan.count("strategy=merge") >= 5
+
+
+def test_pairs_of_names_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(matching, "PIECE", 7)
+    monkeypatch.setattr(matching, "TASK_PAIRS", 100)
+    rnd = random.Random(3)
+    rows = [(rnd.choice("xy"), k, rnd.choice(["", "ab", "abc", "b", None])) for k in range(60)] + [(None, 99, "ab"), (None, 100, "ab"), ("x", None, "ab"), ("y", 5, "b")]
+    df = matching.name_pairs(spark.createDataFrame(rows, "g string, k long, n string"), ["g"], "k", "n")
+    want = [(a, b, None if m is None or n is None else B.edit_cost(m, n)) for g, a, m in rows for h, b, n in rows if g and g == h and a is not None and b is not None and a < b]
+    order = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
+    assert sorted(((r["a"], r["b"], r["edits"]) for r in df.collect()), key=order) == sorted(want, key=order)
+    assert df.rdd.getNumPartitions() > 10

@@ -8,11 +8,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.text import similarity
+
 GRAM = 4
 #: Items too short to seed that are compared with all texts at a time.
 SHORT = 500
 #: Most text of items that is broadcast.
 ITEMS_MB = 2
+#: Rows of a piece of a group of names, and pairs of rows that a task looks at.
+PIECE, TASK_PAIRS = 1000, 4_000_000
 
 
 def _words(text: str):
@@ -84,6 +88,31 @@ def bigram_dice(items: DataFrame, key: str, text: str, least: float) -> DataFram
     return pairs.where(F.col("shared") * 2 >= least * (F.col("ta") + F.col("tb"))).select("a", "b", "shared", F.round(2 * F.col("shared") / (F.col("ta") + F.col("tb")), 9).alias("dice"))
 
 
+def name_pairs(rows: DataFrame, group: Sequence[str], key: str, name: str) -> DataFrame:
+    """(a, b, edits, similarity) of all pairs of rows of one group, a < b by key.
+
+    Names that are equal are compared once: a group is cut into pieces of about
+    ``PIECE`` rows, each piece with its names and their keys, and pieces are joined,
+    not rows. As pairs outgrow the rows by far, pieces are dealt to tasks by the
+    number of pairs, which the size of the rows does not tell.
+    """
+    group = [F.col(g).alias(f"group_{k}") for k, g in enumerate(group)]
+    rows = rows.select(*group, F.col(key).alias("key"), F.col(name).alias("name"))
+    group = [f"group_{k}" for k in range(len(group))]
+    sizes = rows.dropna(subset=group).groupBy(*group).agg(F.count("*").alias("size"))
+    pairs = sizes.agg(F.sum(F.col("size").cast("double") * F.col("size"))).first()[0] or 0
+    piece = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / PIECE)).alias("piece")
+    named = rows.join(sizes, group).select(*group, piece, "name", "key").groupBy(*group, "piece", "name").agg(F.collect_list("key").alias("keys"))
+    pieces = named.groupBy(*group, "piece").agg(F.collect_list(F.struct("name", "keys")).alias("names"))
+    side = lambda x: pieces.select(*group, F.col("piece").alias(f"{x}_piece"), F.col("names").alias(f"{x}_names"))
+    both = side("a").join(side("b").hint("merge"), group).repartition(int(pairs // TASK_PAIRS) + 1, *group, "a_piece", "b_piece")
+    names = both.select(F.explode("a_names").alias("a"), "b_names").select("a", F.explode("b_names").alias("b"))
+    x, y = F.col("a.name"), F.col("b.name")
+    alike = names.select(F.col("a.keys").alias("a_keys"), F.col("b.keys").alias("b_keys"), F.levenshtein(x, y).alias("edits"), similarity(x, y).alias("similarity"))
+    keys = alike.select(F.explode("a_keys").alias("a"), "b_keys", "edits", "similarity").select("a", F.explode("b_keys").alias("b"), "edits", "similarity")
+    return keys.where("a < b")
+
+
 def sellers(needle: str, hay: str, limit: int) -> tuple[int, int, int] | None:
     """(start, end, edits) of the approximate occurrence with fewest edits, at most ``limit``: the first end, then the latest start."""
     if not needle:

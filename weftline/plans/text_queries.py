@@ -93,10 +93,10 @@ def abbreviation_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""",
 )
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    pairs = p.alias("a").join(p.alias("b"), (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    a, b = F.col("a.p_name"), F.col("b.p_name")
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), F.levenshtein(a, b).cast("long").alias("edits"), F.round(T.similarity(a, b), 9).alias("similarity"))
+    from weftline.operators.matching import name_pairs
+
+    pairs = name_pairs(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", "p_name")
+    return pairs.select("a", "b", F.col("edits").cast("long").alias("edits"), F.round("similarity", 9).alias("similarity"))
 
 
 @query(
