@@ -573,3 +573,11 @@ def test_pairs_of_names_are_dealt_by_their_number(spark, monkeypatch):
     order = lambda r: (r[0], r[1], r[2] is None, r[2] or 0)
     assert sorted(((r["a"], r["b"], r["edits"]) for r in df.collect()), key=order) == sorted(want, key=order)
     assert df.rdd.getNumPartitions() > 10
+
+
+def test_initials_of_other_alphabets():
+    assert not cuebuild.ends_sentence("by Í.") and cuebuild.ends_sentence("by Í.", cuebuild.latin_initial)
+    assert not cuebuild.ends_sentence("by J.", cuebuild.latin_initial) and not cuebuild.ends_sentence("Dr.", cuebuild.latin_initial)
+    seg = [{"start": 0, "end": 3000, "tokens": ["▁by", "▁Í.", "▁So"], "times": [200, 500, 800]}]
+    assert [c["text"] for c in cuebuild.build(seg)] == ["by Í. So"]
+    assert [c["text"] for c in cuebuild.build(seg, initial=cuebuild.latin_initial)] == ["by Í.", "So"]

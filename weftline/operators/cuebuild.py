@@ -29,13 +29,19 @@ SPLIT_MS, SPLIT_CHARS, LEAST_PIECE, LEAST_PAUSE, SPLIT_LEAD, EDGE = 7000, 40, 4,
 _MARKS = re.compile(PUNCT_ONLY)
 
 
-def ends_sentence(text: str) -> bool:
+def latin_initial(c: str) -> bool:
+    """A to Z and no other capital."""
+    return "A" <= c <= "Z"
+
+
+def ends_sentence(text: str, initial: Callable[[str], bool] = str.isupper) -> bool:
+    """``initial`` tells of a single character before a dot whether it is an initial and the dot its own."""
     t = text.rstrip()
     if not t or t[-1] not in TERMINATORS:
         return False
     if t[-1] == ".":
         word = re.split(r"\s", t[:-1])[-1]
-        if word and (word.lower() in ABBREVIATIONS or (len(word) == 1 and word.isupper())):
+        if word and (word.lower() in ABBREVIATIONS or (len(word) == 1 and initial(word))):
             return False
     return True
 
@@ -49,12 +55,12 @@ def spoken_chars(text: str) -> int:
     return sum(not c.isspace() and unicodedata.category(c)[0] not in "PS" for c in text)
 
 
-def sentences(tokens: list[str], times: list[int], gap: int = GAP) -> list[tuple[int, int]]:
+def sentences(tokens: list[str], times: list[int], gap: int = GAP, initial: Callable[[str], bool] = str.isupper) -> list[tuple[int, int]]:
     """[start, end) of sentences: a long gap starts one, a terminator (with the closing marks behind it) ends one."""
     out, start = [], 0
     for k in range(1, len(tokens)):
         said = materialize(tokens[start:k]).rstrip(CLOSING + " ")
-        if times[k] - times[k - 1] > gap or (ends_sentence(said) and tokens[k].strip() not in CLOSING):
+        if times[k] - times[k - 1] > gap or (ends_sentence(said, initial) and tokens[k].strip() not in CLOSING):
             out.append((start, k))
             start = k
     if start < len(tokens):
@@ -81,10 +87,10 @@ def _cue(start: int, end: int, text: str, seg: dict, at: slice, offset: int) ->
     }
 
 
-def segment_cues(seg: dict, offset: int = 0) -> list[dict]:
+def segment_cues(seg: dict, offset: int = 0, initial: Callable[[str], bool] = str.isupper) -> list[dict]:
     """Cues of one segment, none before the end of the one before it; ``offset`` is where its file begins."""
     tokens, times, low, high = seg["tokens"], seg["times"], seg["start"], seg["end"]
-    spans = [s for x in sentences(tokens, times) for s in shorter(x, times)]
+    spans = [s for x in sentences(tokens, times, initial=initial) for s in shorter(x, times)]
     out: list[dict] = []
     before = low
     for k, (a, z) in enumerate(spans):
@@ -110,10 +116,10 @@ def _offset(offsets: list[int], file: int) -> int:
     return offsets[file] if file < len(offsets) else 0
 
 
-def build(segments: list[dict], offsets: list[int] | None = None) -> list[dict]:
+def build(segments: list[dict], offsets: list[int] | None = None, initial: Callable[[str], bool] = str.isupper) -> list[dict]:
     """All cues of the files, in order, on one clock (``offsets``: where each file begins); one that reaches into the next ends where that starts."""
     rows = sorted(resplit(segments), key=lambda s: (s.get("file", 0), s["start"]))
-    out = [c for s in rows if s["tokens"] for c in segment_cues(s, _offset(offsets or [], s.get("file", 0)))]
+    out = [c for s in rows if s["tokens"] for c in segment_cues(s, _offset(offsets or [], s.get("file", 0)), initial)]
     for a, b in zip(out, out[1:]):
         if a["start"] < b["start"] < a["end"]:
             a["end"] = b["start"]
