@@ -596,3 +596,37 @@ def test_cues_without_letters_cut_no_run():
     assert [(c.match.start, c.match.end, c.start, c.end) for c in got] == [(0, 4, 0, 1050), (4, 8, 1050, 4450), (8, 12, 4450, 7800)]
     got = B.resegment([cue(0, 4, 0), cue(4, 4, 1), cue(4, 12, 2)], book)
     assert [(c.match.start, c.match.end, c.start, c.end) for c in got] == [(0, 4, 0, 1800), (4, 8, 4000, 4750), (8, 12, 4750, 5800)]
+
+
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+        row = new
+    return row
+
+
+def test_less_work_for_books_gives_the_same():
+    rnd = random.Random(11)
+    word = lambda n: "".join(rnd.choice("abc") for _ in range(rnd.randrange(n)))
+    for _ in range(800):
+        a, b = word(14), word(40)
+        assert B.suffix_costs(a, b) == plain_edits(a[::-1], b[::-1])
+        if a:
+            full, cut = matching.sliding_dice(a, b, 0, len(b)), matching.sliding_dice(a, b, 0, len(b), 0.8)
+            assert cut == full if full[0] >= 0.8 else cut[0] < 0.8
+        for j, (edits, at) in enumerate(zip(*B.span_ends(a, b), strict=True)):
+            spans = [plain_edits(a, b[k:j])[-1] for k in range(j + 1)]
+            assert edits == min(spans) == spans[at]
+    texts = [word(30) for _ in range(30)]
+    book = B.Book(["".join(texts)])
+    best, rates, got = B.match_probed(texts, book)
+    assert (best, rates) == B.probe_windows(texts, book) and got == B.match_book(texts, book, best)
+
+
+def test_books_are_dealt_to_as_many_tasks_as_set(spark):
+    df = B.align_books(spark.createDataFrame([(1, 1, "one two three")], "book_id long, idx long, text string"), spark.createDataFrame([(1, 1, "one two three.")], "book_id long, idx long, text string"))
+    plan = len(df.collect()) == 1 and df._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "AQEShuffleRead" not in plan

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from operator import sub
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -131,8 +133,11 @@ def sellers(needle: str, hay: str, limit: int) -> tuple[int, int, int] | None:
     return best
 
 
-def sliding_dice(needle: str, hay: str, first: int, last: int) -> tuple[float, int, int]:
-    """Best (score, start, length) of bigram Dice over windows of hay[first:last] as long as the needle, one less, one more; single characters if under five. First best wins; 1.0 stops."""
+def sliding_dice(needle: str, hay: str, first: int, last: int, floor: float = 0.0) -> tuple[float, int, int]:
+    """Best (score, start, length) of bigram Dice over windows of hay[first:last] as long as the needle, one less, one more; single characters if under five. First best wins; 1.0 stops.
+
+    Windows before the first and behind the last that can reach ``floor`` are passed over: a window's grams that the needle has at all, however often, are no fewer than those shared.
+    """
     n = 1 if len(needle) < 5 else 2
     grams = lambda s: [s[k : k + n] for k in range(len(s) - n + 1)]
     want: dict[str, int] = {}
@@ -140,20 +145,26 @@ def sliding_dice(needle: str, hay: str, first: int, last: int) -> tuple[float, i
         want[g] = want.get(g, 0) + 1
     total = len(needle) - n + 1
     best = (0.0, first, 0)
+    mine = grams(hay[first:last])
+    seen = [0, *accumulate(map(want.__contains__, mine))]
     for size in (len(needle), len(needle) - 1, len(needle) + 1):
         m = size - n + 1
         if m <= 0 or first + size > last:
             continue
+        near = [k for k, most in enumerate(map(sub, seen[m:], seen)) if 2 * most >= (floor - 2e-9) * (total + m)]
+        if not near:
+            continue
+        at = near[0]
         have: dict[str, int] = {}
         shared = 0
-        for k, g in enumerate(grams(hay[first:last])):
+        for k, g in enumerate(mine[at : near[-1] + m], at):
             have[g] = have.get(g, 0) + 1
             shared += have[g] <= want.get(g, 0)
-            if k >= m:
-                old = hay[first + k - m : first + k - m + n]
+            if k >= at + m:
+                old = mine[k - m]
                 shared -= have[old] <= want.get(old, 0)
                 have[old] -= 1
-            if k >= m - 1:
+            if k >= at + m - 1:
                 score = 2 * shared / (total + m)
                 if score > best[0] + 1e-9:
                     best = (score, first + k - m + 1, size)
@@ -189,7 +200,7 @@ def cursor_match(texts: list[str], book: str, start: int = 0, window: int = 200,
             if p >= 0:
                 hit = (place[p], place[p + len(t) - 1] + 1, 1.0)
         if hit is None and len(t) >= least:
-            score, p, size = sliding_dice(t, book, cursor, end)
+            score, p, size = sliding_dice(t, book, cursor, end, threshold)
             if score >= threshold:
                 hit = (p, p + size, score)
         if hit:
