@@ -638,3 +638,40 @@ def test_books_are_dealt_to_as_many_tasks_as_set(spark):
     df = B.align_books(spark.createDataFrame([(1, 1, "one two three")], "book_id long, idx long, text string"), spark.createDataFrame([(1, 1, "one two three.")], "book_id long, idx long, text string"))
     plan = len(df.collect()) == 1 and df._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "AQEShuffleRead" not in plan
+
+
+def test_likely_ends_give_the_nearest_stretch():
+    rnd = random.Random(21)
+    for _ in range(3000):
+        letters = "abcdefgh"[: rnd.randrange(1, 9)]
+        word = lambda n: "".join(rnd.choice(letters) for _ in range(rnd.randrange(n)))
+        a, b = word(12), word(90)
+        if rnd.randrange(2):
+            b += "".join(c if rnd.randrange(5) else rnd.choice(letters) for c in a) + word(90)
+        ends = B.span_ends(a, b)
+        full = B.best_end(a, b, ends, 0, len(b)) if a and b else None
+        assert B.end_costs(a, b) == ends[0] and B.best_span(a, b) == ((full.start, full.end, full.score) if full else (0, 0, 0.0))
+
+
+def misheard(n):
+    """A book of n sentences and its cues, of which only the first and the last are heard without a fault."""
+    rnd = random.Random(5)
+    parts = ["".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randrange(25, 100))) for _ in range(n)]
+    return parts, [parts[0], *("".join("z" if k % 4 == 1 else c for k, c in enumerate(p)) for p in parts[1:-1]), parts[-1]]
+
+
+def test_long_gaps_are_filled_in_books(spark):
+    parts, cues = misheard(200)
+    assert sum(map(len, parts)) > 3 * B.MAX_REGION
+    cues = spark.createDataFrame([(1, k, c) for k, c in enumerate(cues)], "book_id long, idx long, text string")
+    got = B.align_books(cues, spark.createDataFrame([(1, k, p + ". ") for k, p in enumerate(parts)], "book_id long, idx long, text string")).collect()
+    assert [(r["section"], r["book_text"]) for r in sorted(got, key=lambda r: r["idx"])] == [(k, p + ".") for k, p in enumerate(parts)]
+
+
+def test_gaps_of_much_work_are_filled_without_limits():
+    parts, cues = misheard(12)
+    book, at = B.Book(parts * 2), sum(map(len, parts))
+    first = [B.Match(0, len(parts[0]), 1.0), *[None] * 10, B.Match(at - len(parts[-1]), at, 1.0)]
+    first += [B.Match(m.start + at, m.end + at, 1.0) if m else None for m in first]
+    assert B.fill_gaps(cues * 2, book, first, (10_000, 12 * at)) != (whole := B.fill_gaps(cues * 2, book, first, None)) and all(whole)
+    assert [book.text[m.start : m.end] for m in whole] == parts * 2
